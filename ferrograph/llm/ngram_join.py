@@ -95,6 +95,7 @@ def signatures(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
     """doc_id, node (set digest), n (set size), prefix (its smallest elements; null for sets that the task had before)."""
 
     def run(batches):
+        tk.lean()
         seen: set[int] = set()
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
@@ -171,18 +172,35 @@ def postings(docs: DataFrame, k: int, ratio: Ratio, often: tuple[np.ndarray, np.
     least = -(-(x + 1) * ratio.num // ratio.den)
 
     def run(batches):
+        tk.lean()
         tokens, place = shared.value
         bits = np.zeros(1 << 22, bool)
         bits[(tokens >> U(8)).astype(np.int64) & 0x3FFFFF] = True
         seen: set[int] = set()
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        held = 0
+
+        def put(token, node, n, pos, common):
+            nonlocal held
+            m = len(token)
+            held += m
+            for col, v in zip(out, (token.view(np.int64), node, n, pos, common)):
+                col.append(np.full(m, v, np.int64) if np.isscalar(v) else v)
 
-            def put(token, node, n, pos, common, out=out):
-                m = len(token)
-                for col, v in zip(out, (token.view(np.int64), node, n, pos, common)):
-                    col.append(np.full(m, v, np.int64) if np.isscalar(v) else v)
+        def flush():
+            nonlocal held
+            cols = [np.concatenate(c) for c in out]
+            for c in out:
+                c.clear()
+            held = 0
+            for lo in range(0, len(cols[0]), 50_000):
+                part = [c[lo : lo + 50_000] for c in cols]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[0]), pa.array(part[1]), *(pa.array(c.astype(np.int32)) for c in part[2:])],
+                    ["token", "node", "n", "pos", "common"],
+                )
 
+        for batch in batches:
             for _, g in _sets(batch, k):
                 n = len(g)
                 node = _digest(g)
@@ -205,14 +223,10 @@ def postings(docs: DataFrame, k: int, ratio: Ratio, often: tuple[np.ndarray, np.
                         g = np.concatenate([g[rest], last])
                         common = max(0, p - int(rest.sum()))
                     put(g[:p], node, n, np.arange(p), common)
-            if out[0]:
-                cols = [np.concatenate(c) for c in out]
-                for lo in range(0, len(cols[0]), 100_000):
-                    part = [c[lo : lo + 100_000] for c in cols]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part[0]), pa.array(part[1]), *(pa.array(c.astype(np.int32)) for c in part[2:])],
-                        ["token", "node", "n", "pos", "common"],
-                    )
+                if held > 100_000:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return docs.select("text").mapInArrow(run, POSTING)
 
@@ -276,6 +290,7 @@ def scan(lists: DataFrame, ratio: Ratio, x: int, often: tuple[np.ndarray, np.nda
         return (a, b, 1), (la_, lb_, -1), t[start[is_common & (length > 1)]]
 
     def run(batches):
+        tk.lean()
         tokens = shared.value[0]
         rest = None
         found: dict[int, list] = {1: [], -1: []}
@@ -307,9 +322,9 @@ def scan(lists: DataFrame, ratio: Ratio, x: int, often: tuple[np.ndarray, np.nda
                     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                     count = np.diff(np.r_[first, len(a)]) if kind == 1 else np.full(len(first), -1)
                     cols = [a[first], b[first], *(c.astype(np.int32) for c in (na[first], nb[first], count, common[first]))]
-                    for lo in range(0, len(first), 100_000):
+                    for lo in range(0, len(first), 50_000):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c[lo : lo + 100_000]) for c in cols], ["a", "b", "na", "nb", "shared", "common"]
+                            [pa.array(c[lo : lo + 50_000]) for c in cols], ["a", "b", "na", "nb", "shared", "common"]
                         )
                     parts.clear()
             led = np.concatenate(leads) if leads else np.empty(0, np.int64)
@@ -328,7 +343,7 @@ def scan(lists: DataFrame, ratio: Ratio, x: int, often: tuple[np.ndarray, np.nda
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             work([c[:cut] for c in cols])
             rest = [c[cut:] for c in cols]
-            if held > 2_000_000:
+            if held > 300_000:
                 yield from flush()
         if rest is not None:
             work(rest)
@@ -362,7 +377,8 @@ def verified(cand: DataFrame, reps: DataFrame, docs: DataFrame, k: int, ratio: R
     )
 
     def run(batches):
-        for batch in batches:
+        tk.lean()
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             ab = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
             sets = [
                 _sets(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c))], ["text"]), k)
