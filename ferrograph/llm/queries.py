@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrograph.llm import chat, exact_dedup, ngram_join, secret_scan
+from ferrograph.llm import chat, exact_dedup, language_id, ngram_join, pieces, secret_scan
 from ferrograph.llm.shared import table
 
 
@@ -14,10 +16,31 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def tokenizer(name: str = "piece_bpe_32k.model") -> bytes:
+    """The bytes of a public tokenizer file, read on the driver; FERROGRAPH_TOKENIZERS names another folder."""
+    folder = os.environ.get("FERROGRAPH_TOKENIZERS", "")
+    if not folder:
+        import public_tokenizers
+
+        return Path(public_tokenizers.path(name)).read_bytes()
+    return (Path(folder) / name).read_bytes()
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"), owner="source", example_owners=3)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold() == 1
+    model = language_id.train(docs.filter(~held))
+    return language_id.identify(docs, model).withColumn("held_out", held)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -27,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op6_secret_scans, op9_chat_formatting, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
