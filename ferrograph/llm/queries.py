@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrograph.llm import chat, exact_dedup, language_id, ngram_join, pieces, secret_scan
+from ferrograph.llm import chat, contamination, exact_dedup, language_id, ngram_join, pieces, secret_scan
 from ferrograph.llm.shared import table
 
 
@@ -30,6 +30,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"), owner="source", example_owners=3)
 
@@ -50,8 +54,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_decontamination": contamination.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

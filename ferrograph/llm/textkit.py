@@ -113,20 +113,25 @@ def word_hashes(b: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np
 _COEF = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words; the caller leaves out those that cross rows."""
+    if len(h) < k:
+        return np.empty(0, U)
+    m = len(h) - k + 1
+    with np.errstate(over="ignore"):
+        acc = h[:m] * _COEF[0]
+        for j in range(1, k):
+            acc += h[j : j + m] * _COEF[j]
+        return mix(acc + U(k))
+
+
 def row_shingles(h: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles; of all its words if it has fewer than k."""
+    every = grams(h, k)
     with np.errstate(over="ignore"):
-        if len(h) >= k:
-            m = len(h) - k + 1
-            acc = h[:m] * _COEF[0]
-            for j in range(1, k):
-                acc += h[j : j + m] * _COEF[j]
-            grams = mix(acc + U(k))
-        else:
-            grams = np.empty(0, U)
         for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
             if hi - lo >= k:
-                g = np.sort(grams[lo : hi - k + 1])
+                g = np.sort(every[lo : hi - k + 1])
                 keep = np.empty(len(g), bool)
                 keep[0] = True
                 np.not_equal(g[1:], g[:-1], out=keep[1:])
