@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ferrograph.llm import chat, contamination, exact_dedup, language_id, ngram_join, pieces, secret_scan
+from ferrograph.llm import chat, contamination, exact_dedup, language_id, ngram_join, pieces, secret_scan, warc
 from ferrograph.llm.shared import table
 
 
@@ -34,6 +35,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no times: a capture a second, in order of page_id
+    when = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
+    pages = table(spark, sf_dir, "pages").withColumn("captured", when)
+    index = warc.archived(pages, least_bytes=100)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"), owner="source", example_owners=3)
 
@@ -54,8 +63,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op5_warc, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": contamination.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_decontamination": contamination.ORACLE, "op5_warc": warc.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
