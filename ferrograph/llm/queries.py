@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrograph.llm import chat, contamination, exact_dedup, language_id, ngram_join, pieces, secret_scan, warc
+from ferrograph.llm import chat, contamination, exact_dedup, language_id, lm_score, ngram_join, pieces, secret_scan, warc
 from ferrograph.llm.shared import table
 
 
@@ -35,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), language_id.fold("doc_id", 7) == 2)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table has no times: a capture a second, in order of page_id
     when = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
@@ -63,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op5_warc, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op4_lm_scoring, op5_warc, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
