@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrograph.llm import chat, contamination, exact_dedup, language_id, lm_score, ngram_join, pieces, secret_scan, warc
+from ferrograph.llm import chat, contamination, exact_dedup, language_id, lm_score, ngram_join, pieces, secret_scan, suffix_dedup, warc
 from ferrograph.llm.shared import table
 
 
@@ -51,6 +51,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"), owner="source", example_owners=3)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.fold() == 1
@@ -67,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op4_lm_scoring, op5_warc, op6_secret_scans, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_decontamination, op4_lm_scoring, op5_warc, op6_secret_scans, op7_suffix_array_dedup, op8_language_id, op9_chat_formatting, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
