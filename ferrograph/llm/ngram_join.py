@@ -15,7 +15,10 @@ when the intersection has at least ceil(17 (a + b) / 37) elements (for 85 %).
 
 Lists of very common elements would yield pairs by the square of their length. They are
 first scanned against one leader per size range, which links groups of near copies; only
-pairs that are then still in different components are compared, by a join on the element.
+pairs that are then still in different components are compared, list by list in blocks of
+bounded size. There each set has a parity bitmap, a bit for every bucket of elements: two sets differ in
+at least as many elements as their bitmaps differ in bits, so pairs with too many are out without
+a look at the texts, and no others are.
 No pair of linked sets is lost: sharing a list, it is compared or already connected.
 
 Equal sets are one node (a 64-bit digest of the set) from the start.
@@ -86,19 +89,19 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(tk.row_shingles(h, first, k), lo)
 
 
-SIGNATURE = "doc_id long, node long, n long, prefix array<long>"
+SIGNATURE = "doc_id long, node long, n long, prefix array<long>, parity binary"
 POSTING = "token long, node long, n int, pos int, common int"
 PAIR = "a long, b long, na int, nb int, shared int, common int"
 
 
 def signatures(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
-    """doc_id, node (set digest), n (set size), prefix (its smallest elements; null for sets that the task had before)."""
+    """doc_id, node (set digest), n (set size), prefix (its smallest elements), parity; the last two null for sets the task had before."""
 
     def run(batches):
         tk.lean()
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, bits = [], [], [], []
             for _, g in _sets(batch, k):
                 node = _digest(g)
                 nodes.append(node)
@@ -107,21 +110,31 @@ def signatures(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
                     if len(seen) < 500_000:
                         seen.add(node)
                     prefixes.append(g[: ratio.prefix(len(g))].view(np.int64))
+                    bits.append(parity(g))
                 else:
                     prefixes.append(None)
+                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     _lists(prefixes),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "node", "n", "prefix"],
+                ["doc_id", "node", "n", "prefix", "parity"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
+def parity(g: np.ndarray) -> bytes:
+    """A bit for each bucket of elements, set if their number is odd; as many buckets as elements, 512 to 8192."""
+    m = 1 << min(13, max(9, int(len(g) - 1).bit_length()))
+    odd = np.bincount((g >> U(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def _lists(parts: list[np.ndarray | None]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in parts])]).astype(np.int32)
     there = [p for p in parts if p is not None]
@@ -416,7 +429,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     comp = components(links)
 
     # lists that were only scanned against leaders: compare what is still apart
-    far = apart(posted.filter("pos >= 0"), pairs.filter("shared = -2").select(F.col("a").alias("token")), comp, cand, ratio, x)
+    far = apart(posted.filter("pos >= 0"), pairs.filter("shared = -2").select(F.col("a").alias("token")), comp, cand, sig, ratio, x)
     if not far.isEmpty():
         links = links.union(verified(far, reps, docs, k, ratio))
         comp = components(saved(links, "links"))
@@ -428,17 +441,77 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     )
 
 
-def apart(posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame, ratio: Ratio, x: int) -> DataFrame:
-    """Pairs of one list of a common element in different components that have not been compared."""
-    hot = posted.join(token, "token").dropDuplicates(["token", "node"])
+def apart(posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, ratio: Ratio, x: int) -> DataFrame:
+    """Pairs of one list of a common element in different components that may link and have not been compared."""
+    hot = posted.join(token.distinct(), "token").dropDuplicates(["token", "node"])
     hot = hot.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = hot.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+    mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"))
+    mixed = mixed.filter("r0 <> r1").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     hot = saved(hot.join(mixed, "token"), "hot")
-    one, two = hot.alias("p"), hot.alias("q")
-    num, den = ratio.num, ratio.den
-    pairs = one.join(two, F.expr("p.token = q.token and p.node < q.node and p.root <> q.root")).filter(
-        f"least(p.n, q.n) * {den} >= greatest(p.n, q.n) * {num} and greatest(p.n, q.n) > {x} and "
-        f"1 + least(p.n - p.pos - 1, q.n - q.pos - 1) >= ((p.n + q.n) * {num} + {num + den - 1}) div {num + den}"
-    )
-    pairs = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    return saved(pairs.join(done, ["a", "b"], "left_anti"), "far")
+    bits = sig.filter("parity is not null").join(hot.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    hot = hot.join(bits, "node").withColumn("own", own)
+    # a list of several blocks is dealt as pairs of blocks
+    hot = hot.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    hot = hot.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "pos", "root", "parity")
+    hot = hot.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n")
+
+    def run(batches):
+        tk.lean()
+        names = ("token", "one", "two", "own", "node", "n", "pos", "root", "parity")
+        held, last, found = [[] for _ in names], None, set()
+        for batch in batches:
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+                if row[:3] != last:
+                    found.update(_near(held, ratio, x))
+                    held, last = [[] for _ in names], row[:3]
+                for col, v in zip(held, row):
+                    col.append(v)
+            if len(found) > 100_000:
+                yield _pairs(found)
+                found = set()
+        found.update(_near(held, ratio, x))
+        yield _pairs(found)
+
+    return saved(hot.mapInArrow(run, "a long, b long").distinct().join(done, ["a", "b"], "left_anti"), "far")
+
+
+#: Sets of a list that are compared with one another in one go.
+BLOCK = 4096
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _near(cols: list[list], ratio: Ratio, x: int):
+    """Pairs of a list (or of two of its blocks), sorted by size, that sizes, places and bitmaps allow to link."""
+    if len(cols[0]) < 2:
+        return
+    one, two = cols[1][0], cols[2][0]
+    own, node, n, pos, root = (np.array(c, np.int64) for c in cols[3:8])
+    width = np.array([len(p) for p in cols[8]])
+    # for each width the bitmaps of that width, and those twice as wide folded to it
+    table: dict[int, np.ndarray] = {}
+    for w in set(width.tolist()):
+        m = np.zeros((len(n), w // 8), U)
+        for i, p in enumerate(cols[8]):
+            if len(p) == w:
+                m[i] = np.frombuffer(p, U)
+            elif len(p) == 2 * w:
+                m[i] = np.frombuffer(p, U)[: w // 8] ^ np.frombuffer(p, U)[w // 8 :]
+        table[w] = m
+    last = np.searchsorted(n, n * ratio.den // ratio.num, "right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, last[i])
+        j = j[(root[j] != root[i]) & (n[j] > x)]
+        if one != two:
+            j = j[own[j] != own[i]]
+        wanted = ratio.overlap(n[i], n[j])
+        j, wanted = (v[1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= wanted] for v in (j, wanted))
+        if len(j):
+            m = table[width[i]]
+            differ = np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)
+            for k in j[differ <= n[i] + n[j] - 2 * wanted].tolist():
+                yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
