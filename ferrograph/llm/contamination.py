@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrograph.llm import textkit as tk
+from ferrograph.llm.shared import saved, small
 
 U = np.uint64
 HIT = "doc_id long, item_id long, n_item long, n_common long, containment double"
@@ -131,6 +132,12 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     return spark.createDataFrame([], HIT) if out is None else out
 
 
+def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id has no text that contains an item."""
+    hits = saved(contained(docs, items, k, threshold).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
+    return docs.join(small(hits, hits.count()), docs["doc_id"].cast("long") == hits["_hit"], "left_anti")
+
+
 def _search(shared, k: int, threshold: float):
     def run(batches):
         tk.lean()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrograph.llm.shared import BROADCAST_ROWS, new_path
+from ferrograph.llm.shared import BROADCAST_ROWS, new_path, saved
 
 #: What normalising deletes: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -88,6 +88,23 @@ def exact_groups(docs: DataFrame, digest=sha256) -> DataFrame:
     )
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay; of rows that repeat id and text one."""
+    groups = saved(exact_groups(docs).select("doc_id", "text_sha256", "kept", "group_size"), "groups")
+    dropped = groups.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    again = groups.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    again = again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+
+    def same(right: DataFrame) -> Column:  # by frame: `docs` may have any other columns
+        return docs["doc_id"].cast("long").eqNullSafe(right["_id"]) & (sha256(F.translate(F.coalesce(docs["text"], F.lit("")), WHITE, "")) == right["_sha"])
+
+    out = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, same(dropped), "left_anti")
+    if again.isEmpty():
+        return out
+    single = out.join(again, same(again), "left_anti")
+    return single.unionByName(out.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,

@@ -68,28 +68,9 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import zstandard as z
-
-        names = [m[0] for m in shared.value]
-        compressors = []
-        for _, raw, _ in shared.value:
-            # eight bytes at least: the library takes no less
-            d = z.ZstdCompressionDict(raw.ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            compressors.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        judge = _judge(shared.value, level, block, min_margin, judge_bytes)
         for batch in batches:
-            lang, score, out = [], [], []
-            for value in batch.column(1):
-                text = letters(value.as_py())
-                if not text or not names:
-                    row = (UNKNOWN, 0.0, True)
-                else:
-                    sizes = sizes_of(compressors, text, block)
-                    order = sorted(range(len(sizes)), key=sizes.__getitem__)
-                    margin = 1.0 if len(order) == 1 else (sizes[order[1]] - sizes[order[0]]) / max(1, sizes[order[1]])
-                    row = (names[order[0]], margin, margin < min_margin and len(text) >= judge_bytes)
-                for col, v in zip((lang, score, out), row):
-                    col.append(v)
+            lang, score, out = zip(*map(judge, batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
@@ -100,6 +81,45 @@ def identify(
     )
 
 
+def _judge(model, level: int, block: int, min_margin: float, judge_bytes: int):
+    """A function from a text to (language, score, rejected)."""
+    import zstandard as z
+
+    names = [m[0] for m in model]
+    compressors = []
+    for _, raw, _ in model:
+        # eight bytes at least: the library takes no less
+        d = z.ZstdCompressionDict(raw.ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        compressors.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def judge(value: str | None) -> tuple[str, float, bool]:
+        text = letters(value)
+        if not text or not names:
+            return UNKNOWN, 0.0, True
+        sizes = sizes_of(compressors, text, block)
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        margin = 1.0 if len(order) == 1 else (sizes[order[1]] - sizes[order[0]]) / max(1, sizes[order[1]])
+        return names[order[0]], margin, margin < min_margin and len(text) >= judge_bytes
+
+    return judge
+
+
+def accepted(
+    docs: DataFrame, model: list[tuple[str, bytes, int]], level: int = 6, block: int = 4096, min_margin: float = 0.005, judge_bytes: int = 64
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        judge = _judge(shared.value, level, block, min_margin, judge_bytes)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not judge(t)[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str = "doc_id", folds: int = 3) -> Column:
     """crc32 of doc_id as text, modulo folds."""
     return F.crc32(F.col(doc_id).cast("string")) % folds

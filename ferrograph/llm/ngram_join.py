@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrograph.llm import textkit as tk
-from ferrograph.llm.shared import BROADCAST_ROWS, components, saved
+from ferrograph.llm.shared import BROADCAST_ROWS, components, saved, small
 
 U = np.uint64
 #: Elements in the list of common ones that is broadcast at most (16 bytes each), and in how many lists they are at least.
@@ -441,6 +441,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     )
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs`, with all their columns, without those that are in a component of a smaller doc_id."""
+    comp = jaccard_components(docs, k, num, den)
+    stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
+    gone = saved(comp.groupBy("doc_id").agg(stays.alias("stays")).filter("stays = 0").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(small(gone, gone.count()), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def apart(posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, ratio: Ratio, x: int) -> DataFrame:
     """Pairs of one list of a common element in different components that may link and have not been compared."""
     hot = posted.join(token.distinct(), "token").dropDuplicates(["token", "node"])

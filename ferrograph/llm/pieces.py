@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,6 +201,12 @@ def _repaired(raw: bytes) -> bytes:
     return "".join(out).encode()
 
 
+def _ids(texts: list[str]) -> pa.Array:
+    rows = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in texts]
+    ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+
+
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -247,7 +254,7 @@ def round_trip(docs: DataFrame, model: bytes, texts: bool = False) -> DataFrame:
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if texts:
-                    cols += [pa.array([[int(i) for i in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32())), pa.array([x.decode() for x in back])]
+                    cols += [_ids(ids), pa.array([x.decode() for x in back])]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
                 at += len(group)
