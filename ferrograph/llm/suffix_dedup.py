@@ -237,6 +237,27 @@ def repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [flag[a : z + 1] for a, z in zip(*own)]
 
 
+def _flags(fps: list, salts: list, texts: list[bytes], length: int) -> list[np.ndarray]:
+    """The repeated starts of a shard's contexts.
+
+    Contexts of an anchor that are equal in full are repeats as they stand; one of them goes on, and only if its anchor
+    has others that differ.
+    """
+    first: dict[tuple, int] = {}
+    same = [first.setdefault(x, i) for i, x in enumerate(zip(fps, salts, texts))]
+    twin = {x for i, x in enumerate(same) if x != i}
+    kinds: dict[tuple, int] = {}
+    for f, s, _ in first:
+        kinds[f, s] = kinds.get((f, s), 0) + 1
+    open_ = [i for (f, s, _), i in first.items() if kinds[f, s] > 1]
+    found = dict(zip(open_, repeats([texts[i] for i in open_], length))) if open_ else {}
+    out = []
+    for i in same:
+        n = len(texts[i]) - length + 1
+        out.append(np.ones(n, bool) if i in twin else found[i] if i in found else np.zeros(n, bool))
+    return out
+
+
 MARK = "node long, lo int, hi int, fp long, salt long, k1 long, k2 long"
 
 
@@ -247,7 +268,7 @@ def search(ctx: DataFrame, length: int) -> DataFrame:
     def work(part):
         fps, salts, nodes, los, _, texts, salted = part
         out, known = [], set()
-        for i, flag in enumerate(repeats(texts, length)):
+        for i, flag in enumerate(_flags(fps, salts, texts, length)):
             out += [(nodes[i], los[i] + a, los[i] + z - 1, 0, 0, 0, 0) for a, z in runs(flag)]
             if salted[i]:
                 h = tk.prefix_hash(np.frombuffer(texts[i], np.uint8))
