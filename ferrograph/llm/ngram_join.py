@@ -14,11 +14,11 @@ when the intersection has at least ceil(17 (a + b) / 37) elements (for 85 %).
   and the pairs they are expected to bring on the other.
 
 Lists of very common elements would yield pairs by the square of their length. They are
-first scanned against one leader per size range, which links groups of near copies; only
-pairs that are then still in different components are compared, list by list in blocks of
-bounded size. There each set has a parity bitmap, a bit for every bucket of elements: two sets differ in
-at least as many elements as their bitmaps differ in bits, so pairs with too many are out without
-a look at the texts, and no others are.
+first scanned against leaders, which links groups of near copies; only pairs that are then
+still in different components are compared, list by list in blocks of bounded size. There
+each set has a parity bitmap, a bit for every bucket of elements: two sets differ in at least as many
+elements as their bitmaps differ in bits, so pairs with too many are out without a look at the texts, and no
+others are. Of each set the nearest partner is tried first, and the rest after components are joined.
 No pair of linked sets is lost: sharing a list, it is compared or already connected.
 
 Equal sets are one node (a 64-bit digest of the set) from the start.
@@ -266,11 +266,6 @@ def scan(lists: DataFrame, ratio: Ratio, x: int, often: tuple[np.ndarray, np.nda
     """
     shared = lists.sparkSession.sparkContext.broadcast(often)
 
-    def compatible(na, nb, pa_, pb):
-        # na <= nb; if this is the first element in common, the rest must still suffice
-        room = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-        return ratio.sizes(na, nb) & (room >= ratio.overlap(na, nb)) & (nb > x)
-
     def groups(t, node, n, pos, common, tokens):
         """Pairs of whole lists."""
         m = len(t)
@@ -294,8 +289,12 @@ def scan(lists: DataFrame, ratio: Ratio, x: int, often: tuple[np.ndarray, np.nda
         for s, size_ in zip(start[is_common & (length > 1)].tolist(), length[is_common & (length > 1)].tolist()):
             left = np.arange(s, s + size_)
             while len(left) > 1:
-                lead, left = left[0], left[1:]
-                ok = compatible(n[lead], n[left], pos[lead], pos[left])
+                # the leader has the fewest rarer elements before this one: it is nearest to what the list has in common
+                at = int(pos[left].argmin())
+                lead, left = left[at], np.delete(left, at)
+                small_, large_ = np.minimum(n[lead], n[left]), np.maximum(n[lead], n[left])
+                ok = ratio.sizes(small_, large_) & (large_ > x)
+                ok &= 1 + np.minimum(n[lead] - pos[lead] - 1, n[left] - pos[left] - 1) >= ratio.overlap(small_, large_)
                 lb.append(left[ok])
                 la.append(np.full(int(ok.sum()), lead))
                 left = left[~ok]
@@ -426,13 +425,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     pairs = saved(scan(lists, ratio, x, often), "pairs")
     cand = saved(candidates(pairs, ratio), "cand")
     links = saved(verified(cand, reps, docs, k, ratio).union(linked), "links")
-    comp = components(links)
+    comp = saved(components(links), "comp")
 
     # lists that were only scanned against leaders: compare what is still apart
-    far = apart(posted.filter("pos >= 0"), pairs.filter("shared = -2").select(F.col("a").alias("token")), comp, cand, sig, ratio, x)
-    if not far.isEmpty():
-        links = links.union(verified(far, reps, docs, k, ratio))
-        comp = components(saved(links, "links"))
+    token = pairs.filter("shared = -2").select(F.col("a").alias("token"))
+    for best in (True, True, False):  # the nearest first: then most sets of a group are connected, and few pairs are left
+        far = apart(posted.filter("pos >= 0"), token, comp, cand, sig, ratio, x, best)
+        if far.isEmpty():
+            break
+        cand = cand.unionByName(far)
+        comp = merged(comp, saved(verified(far, reps, docs, k, ratio), "links"))
     root = reps.join(comp, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     low = root.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = root.join(low, "root").select("node", "component_id")
@@ -449,8 +451,23 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     return docs.join(small(gone, gone.count()), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
-def apart(posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, ratio: Ratio, x: int) -> DataFrame:
-    """Pairs of one list of a common element in different components that may link and have not been compared."""
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: only the roots that they join are worked on."""
+    ends = comp.select(F.col("node").alias("a"), F.col("root").alias("ra")), comp.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti")
+    every = comp.unionByName(new.withColumn("root", F.col("node")))
+    return saved(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "comp")
+
+
+def apart(
+    posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, ratio: Ratio, x: int, best: bool
+) -> DataFrame:
+    """Pairs of one list of a common element in different components that may link and have not been compared.
+
+    With `best`, of each set and list only the pair whose bitmaps differ least.
+    """
     hot = posted.join(token.distinct(), "token").dropDuplicates(["token", "node"])
     hot = hot.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"))
@@ -471,14 +488,14 @@ def apart(posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame,
         for batch in batches:
             for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
                 if row[:3] != last:
-                    found.update(_near(held, ratio, x))
+                    found.update(_near(held, ratio, x, best))
                     held, last = [[] for _ in names], row[:3]
                 for col, v in zip(held, row):
                     col.append(v)
             if len(found) > 100_000:
                 yield _pairs(found)
                 found = set()
-        found.update(_near(held, ratio, x))
+        found.update(_near(held, ratio, x, best))
         yield _pairs(found)
 
     return saved(hot.mapInArrow(run, "a long, b long").distinct().join(done, ["a", "b"], "left_anti"), "far")
@@ -493,10 +510,11 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _near(cols: list[list], ratio: Ratio, x: int):
+def _near(cols: list[list], ratio: Ratio, x: int, best: bool):
     """Pairs of a list (or of two of its blocks), sorted by size, that sizes, places and bitmaps allow to link."""
     if len(cols[0]) < 2:
         return
+    at_best: dict[int, tuple[int, int]] = {}
     one, two = cols[1][0], cols[2][0]
     own, node, n, pos, root = (np.array(c, np.int64) for c in cols[3:8])
     width = np.array([len(p) for p in cols[8]])
@@ -521,5 +539,14 @@ def _near(cols: list[list], ratio: Ratio, x: int):
         if len(j):
             m = table[width[i]]
             differ = np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)
-            for k in j[differ <= n[i] + n[j] - 2 * wanted].tolist():
-                yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
+            j, differ = (v[differ <= n[i] + n[j] - 2 * wanted] for v in (j, differ))
+            if best:
+                for k, d in zip(j.tolist(), differ.tolist()):
+                    at_best[k] = min(at_best.get(k, (1 << 40, 0)), (d, i))
+                if len(j):
+                    at_best[i] = min(at_best.get(i, (1 << 40, 0)), (int(differ.min()), int(j[differ.argmin()])))
+            else:
+                for k in j.tolist():
+                    yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
+    for i, (_, k) in at_best.items():
+        yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
