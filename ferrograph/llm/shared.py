@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 
 
+#: Bytes of an Arrow batch on its way to or from Python.
+ARROW_BYTES = str(4 << 20)
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that their Python workers can import it."""
+    """Send this package to the executors once a session, so that their Python workers can import it.
+
+    Arrow batches are bounded in bytes too, for texts may be long.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         folder = tempfile.mkdtemp()
