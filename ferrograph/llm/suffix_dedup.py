@@ -97,7 +97,8 @@ def fingerprints(rows: DataFrame, length: int) -> DataFrame:
 def contexts(rows: DataFrame, length: int) -> DataFrame:
     """From node, text and its shared anchors: fp, salt, node, lo, hi and the bytes from lo to hi + length.
 
-    Contexts that a text holds twice are repeats by themselves: they come once with their bytes, and all as rows without.
+    Contexts that a text holds twice are repeats by themselves: they come once with their bytes, and their starts as
+    rows without.
     """
 
     def run(batches):
@@ -117,15 +118,17 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
                     key = ((h[hi + length] - h[lo]) * inverse[lo]).tolist()
                 for item in zip(key, fp.tolist(), salts.tolist(), lo.tolist(), hi.tolist()):
                     places.setdefault((item[0], item[1], item[4] - item[3]), []).append(item)
+                rows_, inner = [], []
                 for same in places.values():
                     _, f, s, a, z = same[0]
-                    rows_ = [(f, node % s, node, a, z, raw[a : z + length])]
                     if len(same) > 1:
-                        rows_ += [(f, node % s, node, x[3], x[4], None) for x in same]
-                    for row in rows_:
-                        for col, v in zip(out, row):
-                            col.append(v)
-                        size += len(row[5] or b"")
+                        inner += [(x[3], x[4]) for x in same]
+                    rows_.append((f, node % s, node, a, z, raw[a : z + length]))
+                rows_ += [(node, 0, node, a, z, None) for a, z in _joined(inner)]
+                for row in rows_:
+                    for col, v in zip(out, row):
+                        col.append(v)
+                    size += len(row[5] or b"")
                 if size > 2_000_000:
                     yield _contexts(out)
                     out, size = [[], [], [], [], [], []], 0
@@ -134,13 +137,25 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "fp long, salt long, node long, lo int, hi int, bytes binary")
 
 
+def _joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (last one included), sorted, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(parts):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def _contexts(cols: list) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["fp", "salt", "node", "lo", "hi", "bytes"])
 
 
-def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """`start` sorted by the `length` bytes from each, and for every byte's place the eight bytes from it as a number.
+def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`start` sorted by the `length` bytes from each; for every byte's place the eight bytes from it as a number, and
+    whether it was alone in its class before the refinement ended.
 
     end: for each place, where its context ends. Ranks are refined from depth h to 3 h; a rank whose bytes would cross
     the end of its context is never asked for. A place that is alone in its class keeps its rank.
@@ -158,6 +173,7 @@ def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: i
     times = 3 if n < 1 << 21 else 2  # ranks that fit one key
     bits = U(21 if times == 3 else 32)
     base = np.zeros(len(todo), np.int64)
+    alone = np.ones(n + 1, bool)
     while len(todo):
         order = np.argsort(keys)
         at, value, base = todo[order], keys[order], base[order]
@@ -168,6 +184,7 @@ def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: i
         group = np.flatnonzero(np.r_[True, base[1:] != base[:-1]])
         inside = first - np.repeat(group, np.diff(np.r_[np.searchsorted(first, group), len(first)]))
         rank[at] = base + np.repeat(inside, size)
+        alone[at] = np.repeat(size == 1, size)
         if depth >= length:
             break
         step = min(times * depth, length)
@@ -179,13 +196,17 @@ def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: i
         for shift in range(1, times):
             keys = (keys << bits) | rank[todo + min(shift * depth, step - depth)].astype(U)
         depth = step
-    return start[np.argsort(rank[start], kind="stable")], word
+    return start[np.argsort(rank[start], kind="stable")], word, alone
+
+
+#: Inverted words with one to seven equal leading bytes begin here.
+_LEADING = np.array([2**64 - 2 ** (8 * (8 - k)) for k in range(1, 8)], U)
 
 
-def common_prefixes(sa: np.ndarray, word: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+def common_prefixes(sa: np.ndarray, word: np.ndarray, own: np.ndarray, length: int, skip: np.ndarray | None = None) -> np.ndarray:
     """For each place of `sa` the bytes in common with its predecessor, `length` at most (Kasai's algorithm).
 
-    own: (first, last) start of each context. All contexts go on in step: the start after one whose common prefix has h
+    own: (first, last) start of each context. Starts in `skip` are known to have fewer than `length` and get 0. All contexts go on in step: the start after one whose common prefix has h
     bytes has h - 1 at least, if the predecessor's next start comes before it.
     """
     n = len(word)
@@ -197,6 +218,10 @@ def common_prefixes(sa: np.ndarray, word: np.ndarray, own: np.ndarray, length: i
     before = np.full(len(first), -1)  # predecessor of the start before
     for d in range(int((last - first).max(initial=-1)) + 1):
         live = np.flatnonzero(first + d <= last)
+        if skip is not None:
+            passed = skip[first[live] + d]
+            before[live[passed]] = -1
+            live = live[~passed]
         i = first[live] + d
         p = at[i]
         j = np.where(p > 0, sa[np.maximum(p - 1, 0)], -1)
@@ -208,11 +233,12 @@ def common_prefixes(sa: np.ndarray, word: np.ndarray, own: np.ndarray, length: i
             x, y = word[np.minimum(i[go] + got[go], n - 1)], word[np.minimum(j[go] + got[go], n - 1)]
             differ = x ^ y
             same = differ == 0
-            lead = np.zeros(len(go), np.int64)
-            for byte in range(8):  # equal leading bytes
-                lead += (differ >> U(8 * (7 - byte))) == 0
-            got[go] += np.where(same, 8, lead)
-            go = go[same & (got[go] < length)]
+            got[go[same]] += 8
+            ends, left = go[~same], differ[~same]
+            if len(ends):  # equal leading bytes
+                got[ends] += np.searchsorted(_LEADING, ~left, "right")
+            go = go[same]
+            go = go[got[go] < length]
         got = np.where(j >= 0, np.minimum(got, length), 0)
         lcp[p] = got
         h[live], before[live] = got, j
@@ -227,8 +253,8 @@ def repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
     end = np.repeat(begin[1:], size)
     own = begin[:-1], begin[1:] - length
     start = np.flatnonzero(np.arange(len(text)) + length <= end)
-    sa, word = suffix_array(text, end, start, length)
-    joined = common_prefixes(sa, word, own, length) >= length
+    sa, word, alone = suffix_array(text, end, start, length)
+    joined = common_prefixes(sa, word, own, length, alone) >= length
     joined[:1] = False
     twice = joined.copy()
     twice[:-1] |= joined[1:]

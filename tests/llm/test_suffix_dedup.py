@@ -82,10 +82,14 @@ def test_suffix_array_and_common_prefixes(seed):
     end = np.repeat(begin[1:], size)
     length = 30
     start = np.flatnonzero(np.arange(len(text)) + length <= end)
-    sa, word = sd.suffix_array(text, end, start, length)
+    sa, word, alone = sd.suffix_array(text, end, start, length)
     strings = [text[i : i + length].tobytes() for i in sa]
     assert strings == sorted(text[i : i + length].tobytes() for i in start)
     lcp = sd.common_prefixes(sa, word, (begin[:-1], begin[1:] - length), length)
     for i in range(1, len(sa)):
         want = next((k for k in range(length) if strings[i][k] != strings[i - 1][k]), length)
         assert lcp[i] == want
+        if want >= length:
+            assert not alone[sa[i]] and not alone[sa[i - 1]]
+    some = sd.common_prefixes(sa, word, (begin[:-1], begin[1:] - length), length, alone)
+    assert ((some >= length) == (lcp >= length)).all()
