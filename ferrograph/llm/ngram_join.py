@@ -550,3 +550,22 @@ def _near(cols: list[list], ratio: Ratio, x: int, best: bool):
                     yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
     for i, (_, k) in at_best.items():
         yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda x: array_to_string(w[x:x + 3], ' '))
+                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT s.* FROM s SEMI JOIN f ON s.g = f.g),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id AS id, doc_id AS low FROM t UNION SELECT e.b, c.low FROM c JOIN e ON e.a = c.id AND c.low < e.b)
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.low) AS component_id
+FROM t JOIN c ON c.id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
+"""

@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": contamination.ORACLE, "op5_warc": warc.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op3_decontamination": contamination.ORACLE, "op5_warc": warc.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
