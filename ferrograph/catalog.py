@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrograph.functions import text, vector
-from ferrograph.operators import clean, graph, insight, keys, names, network, profile, relations
+from ferrograph.config import EngineConfig, Network, Training
+from ferrograph.functions import vector
+from ferrograph.operators import clean, entities, graph, insight, keys, names, network, profile, relations
+from ferrograph.sources import readers, writers
 from ferrograph.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -649,6 +651,80 @@ def gat_attention(spark, d):
     return network.attention(vectors(spark, d).select("id", "embedding"), ring(spark, d))
 
 
+@query("""WITH s AS (SELECT avg(c_acctbal) AS m1, stddev_pop(c_acctbal) AS s1, avg(c_nationkey) AS m2, stddev_pop(c_nationkey) AS s2 FROM customer)
+SELECT c_custkey, round((c_acctbal - m1) / s1, 6) AS c_acctbal, round((c_nationkey - m2) / s2, 6) AS c_nationkey, 0.0::DOUBLE AS one FROM customer, s""")
+def standard_scaling(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), F.lit(3.0).alias("one"))
+    return rounded(vector.standard_scale(c, ["c_acctbal", "c_nationkey", "one"]), "c_acctbal", "c_nationkey")
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    return vectors(spark, d).select("id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"))
+
+
+@query()
+def neighbour_sample(spark, d):
+    return graph.sample_neighbours(edges(spark, d), vertices(spark, d).filter("id like 'r%'"))
+
+
+@query()
+def graph_statistics(spark, d):
+    v, e = vertices(spark, d), edges(spark, d)
+    row = graph.statistics(v, e, graph.louvain(v, e))
+    return spark.createDataFrame([(k, float(x)) for k, x in row.items()], "statistic string, value double")
+
+
+@query()
+def graph_layouts(spark, d):
+    v, e = vertices(spark, d), edges(spark, d)
+    rows = [(name, i, *map(float, p)) for name, f in (("spring", graph.spring_layout), ("kamada_kawai", graph.kamada_kawai_layout)) for i, p in f(v, e).items()]
+    flat = graph.hierarchical_layout(graph.hierarchy(v, e).join(graph.label_propagation(v, e, 2).withColumn("community", F.length("community")), "id"))
+    return spark.createDataFrame(rows, "layout string, id string, x double, y double").unionByName(flat.select(F.lit("hierarchical").alias("layout"), "id", "x", "y"))
+
+
+@query()
+def gnn_train(spark, d):
+    v, e = vertices(spark, d).filter("id not like 's%'"), edges(spark, d)
+    deg = graph.degrees(v, e)
+    kind = [(F.substring("id", 1, 1) == k).cast("double") for k in "cnrp"]
+    config = EngineConfig(training=Training(epochs=10, rate=0.01), network=Network(hidden=16, out=8))
+    trainer, _ = network.train_graph(v, e, deg.select("id", F.array(*kind, F.log1p("degree")).alias("features")), config)
+    return trainer.train().table(spark)
+
+
+@query()
+def ward_entities(spark, d):
+    found, _ = entities.discover(readers.synthetic_erp(spark, 300), ["order_id"])
+    return spark.createDataFrame([(x["name"], x["type"], x["columns"], x["confidence"], x["representative"]) for x in found], "name string, type string, columns array<string>, confidence double, representative string")
+
+
+@query()
+def discovered_relations(spark, d):
+    df = readers.synthetic_erp(spark, 300)
+    found, types = entities.discover(df, ["order_id"])
+    rows = [(r["source"], r["target"], r["name"], r["type"], r["confidence"], r["cardinality"]) for r in relations.discover(df, found, types)]
+    return spark.createDataFrame(rows, "source string, target string, name string, type string, confidence double, cardinality string")
+
+
+@query()
+def cleaned_table(spark, d):
+    return clean.clean(dirty(spark, d), {"status": "categorical", "cents": "numeric", "day": "datetime", "flag": "boolean", "note": "text", "ts": "datetime"}, "idx")
+
+
+@query()
+def cytoscape_export(spark, d):
+    return writers.cytoscape_elements(vertices(spark, d), edges(spark, d))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS place, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50000")
+def row_cap(spark, d):
+    from pyspark.sql import Window
+
+    first = t(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(EngineConfig().ingestion.max_rows)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("o_orderkey")).cast("long"))
+
+
 # --- insight ----------------------------------------------------------------------------------------------------------
 
 

@@ -58,6 +58,7 @@ class Training:
     epochs: int = 30
     batch: int = 64
     clip: float = 1.0
+    accumulate: int = 1
     warmup: int = 5
     checkpoint_every: int = 10
     patience: int = 10

@@ -410,6 +410,42 @@ def spring_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 50, seed:
     return {v: tuple(p) for v, p in zip(ids, pos.tolist())}
 
 
+def kamada_kawai_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 60, seed: int = 42) -> dict:
+    """Positions whose distances follow path lengths, by majorising the weighted stress; parts lie one diameter and a step apart."""
+    ids, src, dst, w = adjacency(vertices, edges)
+    n = len(ids)
+    near = _neighbours(n, np.r_[src, dst], np.r_[dst, src], np.r_[w, w])
+    far = np.full((n, n), np.nan)
+    for s in range(n):
+        for v, d in _bfs(near, s):
+            far[s, v] = d
+    far = np.where(np.isnan(far), np.nanmax(far, initial=0) + 1, far)
+    weight = np.where(far > 0, 1 / np.maximum(far, 1) ** 2, 0.0)
+    lap = np.diag(weight.sum(axis=1)) - weight
+    inverse = np.linalg.pinv(lap) if n else lap
+    pos = np.random.default_rng(seed).random((n, 2))
+    for _ in range(rounds):
+        delta = np.linalg.norm(pos[:, None] - pos[None], axis=2)
+        b = -weight * far / np.where(delta > 1e-9, delta, 1)
+        np.fill_diagonal(b, 0)
+        np.fill_diagonal(b, -b.sum(axis=1))
+        pos = inverse @ (b @ pos)
+    return {v: tuple(p) for v, p in zip(ids, pos.tolist())}
+
+
+def sample_neighbours(edges: DataFrame, seeds: DataFrame, fanout: tuple[int, ...] = (10, 5), seed: int = 42) -> DataFrame:
+    """src, dst, hop: for each hop at most `fanout` neighbours (by hash) of the vertices that the hop before reached."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    front, out = seeds.select("id"), None
+    for hop, most in enumerate(fanout, 1):
+        w = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "dst")
+        step = both.join(front, both["src"] == front["id"], "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+        step = saved(step.select("src", "dst", F.lit(hop).alias("hop")))
+        out = step if out is None else out.unionAll(step)
+        front = step.select(F.col("dst").alias("id")).distinct()
+    return out
+
+
 def build(df: DataFrame, entities: list[dict], relations: list[dict], order: str, config: EngineConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges: entities, sampled instances, memberships, relationships and instance links; then pruned."""
     g = (config or EngineConfig()).graph

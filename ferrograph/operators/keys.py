@@ -21,6 +21,12 @@ def value_sets(df: DataFrame, columns: Sequence[str], sample_rows: int | None =
     return profile.value_counts(df, columns).select("column", "value")
 
 
+def pair_columns(types: dict[str, str], boolean: bool = False, most: int | None = 30) -> list[str]:
+    """Identifier and category columns (truth values too for overlaps), the first `most` of them."""
+    kinds = ("id", "categorical", "boolean") if boolean else ("id", "categorical")
+    return [c for c, t in types.items() if t in kinds][:most]
+
+
 def overlaps(sets: DataFrame) -> DataFrame:
     """col_a < col_b with n_a, n_b and n_both: a self-join on the value, counted by pair."""
     size = sets.groupBy("column").agg(F.count("*").alias("n"))

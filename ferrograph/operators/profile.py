@@ -191,3 +191,14 @@ def quality_summary(profile: DataFrame, config: EngineConfig | None = None) -> s
     lines += [f"missing {r['missing_rate']:.1%}: {r['column']}" for r in rows if r["missing_rate"] > 0.05]
     drop = [r["column"] for r in rows if r["n_distinct"] <= c.constant_distinct or r["missing_rate"] > c.missing_drop]
     return "\n".join([*lines, f"to drop: {', '.join(drop) or 'none'}"])
+
+
+def schema_summary(types: DataFrame, primary_keys: DataFrame, fk_pairs: DataFrame) -> str:
+    """Columns by semantic type, keys and foreign keys, as text."""
+    by: dict[str, list[str]] = {}
+    for r in types.orderBy("column").collect():
+        by.setdefault(r["semantic_type"], []).append(r["column"])
+    lines = [f"{t}: {', '.join(by[t])}" for t in TYPES if t in by]
+    lines += [f"key: {r['column']}" for r in primary_keys.orderBy("column").collect()]
+    lines += [f"{r['child_col']} -> {r['parent_col']} ({r['overlap']:.2f})" for r in fk_pairs.orderBy("child_col", "parent_col").collect()]
+    return "\n".join(lines)

@@ -203,3 +203,40 @@ def test_without_llm():
     import __spark_entry__ as entry
 
     assert {"column_profile", "components"} <= set(entry.queries())
+
+
+def test_layouts_and_samples(spark, small):
+    v, e = small
+    far = graph.kamada_kawai_layout(v, e)
+    d = lambda a, b: np.hypot(far[a][0] - far[b][0], far[a][1] - far[b][1])
+    assert d("a", "b") < d("r", "e") and len(graph.spring_layout(v, e, rounds=5)) == v.count()
+    one = graph.sample_neighbours(e, v.filter("id = 'a'"), (2, 1)).collect()
+    assert sum(r.hop == 1 for r in one) == 2 and all(r.src == "a" for r in one if r.hop == 1)
+    assert [r.id for r in graph.sample_neighbours(e, v, (1,)).select("src").distinct().withColumnRenamed("src", "id").collect()]
+
+
+def test_registry(tmp_path):
+    reg = network.Registry(str(tmp_path))
+    p = {"w": Tensor(np.ones(3))}
+    reg.put("m", p, auc=0.5)
+    p["w"].data += 1
+    reg.put("m", p, auc=0.7)
+    assert reg.get("m", p, 1)["auc"] == 0.5 and p["w"].data.tolist() == [1, 1, 1]
+    assert reg.get("m", p)["number"] == 2
+    with pytest.raises(TrainingError):
+        reg.get("other", p)
+
+
+def test_accumulated_steps():
+    x = np.eye(6)
+    pairs = np.array([(i, j) for i in range(6) for j in range(i)])
+    t = network.Trainer(x, pairs[:, 0], pairs[:, 1], EngineConfig(network=Network(hidden=4, out=2, layers=2), training=Training(epochs=4, accumulate=2)))
+    assert len(t.train().history("loss")) == 4
+
+
+def test_schema_summary(spark):
+    df = spark.createDataFrame([(i, f"o{i}", f"c{i % 3}", f"c{i}") for i in range(60)], "k long, order_id string, a_id string, b_id string")
+    types = profile.semantic_types(df, ["k"])
+    pairs = keys.fk_pairs(keys.value_sets(df, keys.pair_columns({r["column"]: r["semantic_type"] for r in types.collect()})))
+    text = profile.schema_summary(types, keys.primary_keys(df, ["k"]), pairs)
+    assert "a_id -> b_id (1.00)" in text and "key: b_id" in text
