@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
     ship(spark)
-    return pieces.round_trip(docs, tokenizer(), texts=True).drop("decoded")
+    return pieces.round_trip(docs, tokenizer(), texts=True, cache=100_000).drop("decoded")
 
 
 STAGES = [

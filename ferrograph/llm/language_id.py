@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrograph.llm import textkit as tk
+
 UNKNOWN = "und"
 #: Longest sample of one row, in characters.
 SAMPLE_CHARS = 2000
@@ -85,6 +87,7 @@ def _judge(model, level: int, block: int, min_margin: float, judge_bytes: int):
     """A function from a text to (language, score, rejected)."""
     import zstandard as z
 
+    tk.lean()
     names = [m[0] for m in model]
     compressors = []
     for _, raw, _ in model:

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrograph.llm import textkit as tk
+
 MARK = "▁"
-#: Chunks that a worker keeps, and the longest that it keeps.
+#: Chunks that a worker keeps if no other number is given, and the longest that it keeps.
 CACHE, CACHE_CHARS = 400_000, 40
 _NEVER = 1 << 30
 _RAGGED = re.compile(r"^ | $|  | \n|\n ").search
@@ -53,6 +55,7 @@ class Pieces:
         self.text |= {str(i): "" for i in range(n) if sp.is_control(i)}
         self.text[str(self.unk)] = " ⁇ "
         self.cache: dict[str, str] = {}
+        self.most = CACHE
 
     def merge(self, chunk: str) -> list[str]:
         """The symbols of a chunk once no pair is left on the agenda."""
@@ -127,7 +130,7 @@ class Pieces:
         for c, ids, want in zip(fresh, made, sure):
             own[c] = v = ",".join(map(str, ids if want is None else want))
             # what comes first is kept: frequent chunks are among it, and rare ones are not worth their room
-            if len(cache) < CACHE and len(c) <= CACHE_CHARS:
+            if len(cache) < self.most and len(c) <= CACHE_CHARS:
                 cache[c] = v
         return own
 
@@ -210,11 +213,16 @@ def _ids(texts: list[str]) -> pa.Array:
 _LOADED: dict[str, Pieces] = {}
 
 
-def loaded(model: bytes) -> Pieces:
+def loaded(model: bytes, cache: int = CACHE) -> Pieces:
+    """A worker's vocabulary, which it keeps from task to task with its cache."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = Pieces(model)
-    return _LOADED[key]
+    out = _LOADED[key]
+    out.most = cache
+    if len(out.cache) > cache:
+        out.cache.clear()
+    return out
 
 
 def batches_of(column: pa.Array, most: int):
@@ -230,13 +238,17 @@ def batches_of(column: pa.Array, most: int):
         yield texts
 
 
-def round_trip(docs: DataFrame, model: bytes, texts: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of `docs`; with `texts`, also ids (array) and decoded."""
+def round_trip(docs: DataFrame, model: bytes, texts: bool = False, cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of `docs`; with `texts`, also ids (array) and decoded.
+
+    cache: chunks that a worker keeps, at some 230 bytes each; fewer cost time only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
 
     def run(batches):
-        p = loaded(shared.value)
+        tk.lean()
+        p = loaded(shared.value, cache)
         digest = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             at = 0
