@@ -40,15 +40,17 @@ SHARD, SALTED = 1 << 20, 6000
 
 
 def anchors(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, hash, place, first start, last start) of the anchors of a slab's rows; places count from the row's start."""
+    """(row, hash, place, first start, last start, context) of the anchors of a slab's rows; places count from the row's
+    start, and the context is a hash of the bytes from the first start to `length` after the last."""
     k = min(GRAM, length)
     w = length - k + 1
     n = len(b)
     if n < length:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     h = tk.prefix_hash(b)
     with np.errstate(over="ignore"):
-        grams = tk.mix((h[k:] - h[:-k]) * tk.powers(n + 1, tk.BASE_INV)[: n - k + 1])
+        inverse = tk.powers(n + 1, tk.BASE_INV)
+        grams = tk.mix((h[k:] - h[:-k]) * inverse[: n - k + 1])
     low = U((1 << PLACE) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=U)
     m = len(grams) - w + 1  # windows
@@ -69,11 +71,17 @@ def anchors(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ..
     keep = whole[first]
     first, last = first[keep], last[keep]
     r = row[first]
-    return r, grams[owner[first]].view(np.int64), owner[first] - off[r], first - off[r], last - off[r]
+    with np.errstate(over="ignore"):
+        context = (h[last + length] - h[first]) * inverse[first]
+    return r, grams[owner[first]].view(np.int64), owner[first] - off[r], first - off[r], last - off[r], context
 
 
 def fingerprints(rows: DataFrame, length: int) -> DataFrame:
-    """fp, node, place, lo, hi for each anchor of rows (node, text); of equal texts of a task only once."""
+    """fp, node, place, lo, hi for each anchor of rows (node, text); of equal texts of a task only once.
+
+    Contexts that a text holds twice are repeats by themselves: their starts come as ranges without fp, and one of them
+    goes on as an anchor. So a text that repeats a word a thousand times has few anchors.
+    """
 
     def run(batches):
         tk.lean()
@@ -81,54 +89,55 @@ def fingerprints(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             for lo, hi, b, off in tk.slabs(batch.column(1)):
-                r, fp, place, first, last = anchors(b, off, length)
+                r, fp, place, first, last, context = anchors(b, off, length)
                 new = []
                 for x in nodes[lo:hi].tolist():
                     new.append(x not in seen)
                     if len(seen) < 500_000:
                         seen.add(x)
                 keep = np.array(new)[r]
-                cols = [fp[keep], nodes[lo:hi][r[keep]], *(c[keep].astype(np.int32) for c in (place, first, last))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "node", "place", "lo", "hi"])
+                r, fp, place, first, last, context = (c[keep] for c in (r, fp, place, first, last, context))
+                with np.errstate(over="ignore"):
+                    kind = tk.mix(tk.mix(context + fp.view(U)) + tk.mix(r.astype(U) * U(1 << 32) + (last - first).astype(U) * U(1 << 16) + (place - first).astype(U)))
+                _, one, which, times = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+                again = times[which] > 1
+                inner: dict[int, list] = {}
+                for x, a, z in zip(r[again].tolist(), first[again].tolist(), last[again].tolist()):
+                    inner.setdefault(x, []).append((a, z))
+                marks = [(nodes[lo + x], a, z) for x, parts in inner.items() for a, z in _joined(parts)]
+                one.sort()
+                own = [c[one] for c in (fp, nodes[lo:hi][r], place, first, last)]
+                none = [0] * len(marks)
+                cols = [list(c) for c in zip(*marks)] if marks else [[], [], []]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(own[0], pa.int64()), pa.nulls(len(marks), pa.int64())]),
+                        pa.concat_arrays([pa.array(own[1], pa.int64()), pa.array(cols[0], pa.int64())]),
+                        *(
+                            pa.concat_arrays([pa.array(x.astype(np.int32)), pa.array(y, pa.int32())])
+                            for x, y in zip(own[2:], (none, cols[1], cols[2]))
+                        ),
+                    ],
+                    ["fp", "node", "place", "lo", "hi"],
+                )
 
     return rows.mapInArrow(run, "fp long, node long, place int, lo int, hi int")
 
 
 def contexts(rows: DataFrame, length: int) -> DataFrame:
-    """From node, text and its shared anchors: fp, salt, node, lo, hi and the bytes from lo to hi + length.
-
-    Contexts that a text holds twice are repeats by themselves: they come once with their bytes, and their starts as
-    rows without.
-    """
+    """From node, text and its shared anchors: fp, salt, node, lo, hi and the bytes from lo to hi + length."""
 
     def run(batches):
         tk.lean()
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             size = 0
             for node, text, found in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("node", "text", "found"))):
                 node, raw = node.as_py(), text.as_py().encode()
-                h = tk.prefix_hash(np.frombuffer(raw, np.uint8))
-                places: dict[tuple, list] = {}
-                cols = [found.values.field(c).to_numpy() for c in ("fp", "salts", "place", "lo", "hi")]
-                order = np.argsort(cols[2], kind="stable")
-                fp, salts, _, lo, hi = (c[order] for c in cols)
-                inverse = tk.powers(len(raw) + 1, tk.BASE_INV)
-                with np.errstate(over="ignore"):
-                    key = ((h[hi + length] - h[lo]) * inverse[lo]).tolist()
-                for item in zip(key, fp.tolist(), salts.tolist(), lo.tolist(), hi.tolist()):
-                    places.setdefault((item[0], item[1], item[4] - item[3]), []).append(item)
-                rows_, inner = [], []
-                for same in places.values():
-                    _, f, s, a, z = same[0]
-                    if len(same) > 1:
-                        inner += [(x[3], x[4]) for x in same]
-                    rows_.append((f, node % s, node, a, z, raw[a : z + length]))
-                rows_ += [(node, 0, node, a, z, None) for a, z in _joined(inner)]
-                for row in rows_:
-                    for col, v in zip(out, row):
+                for f, s, a, z in zip(*(found.values.field(c).to_pylist() for c in ("fp", "salts", "lo", "hi"))):
+                    for col, v in zip(out, (f, node % s, node, a, z, raw[a : z + length])):
                         col.append(v)
-                    size += len(row[5] or b"")
+                    size += z + length - a
                 if size > 2_000_000:
                     yield _contexts(out)
                     out, size = [[], [], [], [], [], []], 0
@@ -319,9 +328,6 @@ def search(ctx: DataFrame, length: int) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("fp", "salt", "node", "lo", "hi", "bytes", "salts")]
             out = []
             for fp, salt, node, lo, hi, text, salts in zip(*cols):
-                if text is None:
-                    out.append((node, lo, hi, 0, 0, 0, 0))
-                    continue
                 if (fp, salt) != last and size > SHARD // 2:
                     out += work(part)
                     part, size = [[] for _ in range(7)], 0
@@ -390,7 +396,9 @@ def deduplicated(docs: DataFrame, length: int = 400) -> DataFrame:
     keys = saved(rows.select("doc_id", "node", "n_bytes", F.sha2("text", 256).alias("whole")), "nodes")
     long = rows.filter(F.col("n_bytes") >= length).select("node", "text")
 
-    found = saved(fingerprints(long, length), "anchors")
+    every = saved(fingerprints(long, length), "anchors")
+    found = every.filter("fp is not null")
+    inner = every.filter("fp is null").select("node", "lo", "hi").distinct()
     count = found.groupBy("fp").agg(
         F.min("node").alias("n0"), F.max("node").alias("n1"), F.min("place").alias("p0"), F.max("place").alias("p1"), F.count("*").alias("n")
     )
@@ -401,7 +409,7 @@ def deduplicated(docs: DataFrame, length: int = 400) -> DataFrame:
         .agg(F.collect_set(F.struct("fp", "salts", "place", "lo", "hi")).alias("found"))
     )
     by_node = saved(by_node, "shared")
-    some = by_node.select("node")
+    some = saved(by_node.select("node").union(inner.select("node")).distinct(), "some")
     some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
     texts = saved(long.join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
@@ -409,7 +417,7 @@ def deduplicated(docs: DataFrame, length: int = 400) -> DataFrame:
     ctx = ctx.join(count.filter("salts > 1"), "fp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     ctx = ctx.repartition("fp", "salt").sortWithinPartitions("fp", "salt")
     marks = saved(search(ctx, length), "marks")
-    starts = marks.filter("salt = 0").select("node", "lo", "hi").unionAll(across(marks.filter("salt > 0")))
+    starts = marks.filter("salt = 0").select("node", "lo", "hi").unionAll(across(marks.filter("salt > 0"))).unionAll(inner)
     starts = starts.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     done = cut(texts.join(starts, "node").select("node", "text", "marks"), length)
 
