@@ -98,7 +98,7 @@ def _judge(model, level: int, block: int, min_margin: float, judge_bytes: int):
 
     def judge(value: str | None) -> tuple[str, float, bool]:
         text = letters(value)
-        if not text or not names:
+        if not names or not any(map(str.isalpha, value or "")):
             return UNKNOWN, 0.0, True
         sizes = sizes_of(compressors, text, block)
         order = sorted(range(len(sizes)), key=sizes.__getitem__)

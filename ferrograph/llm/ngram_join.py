@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrograph.llm import textkit as tk
-from ferrograph.llm.shared import BROADCAST_ROWS, components, saved, small
+from ferrograph.llm.shared import BROADCAST_ROWS, components, most_frequent, saved, small
 
 U = np.uint64
 #: Elements in the list of common ones that is broadcast at most (16 bytes each), and in how many lists they are at least.
@@ -145,15 +145,8 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
 
 def common_elements(sig: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The elements in most prefixes, sorted by value, and their places in order of frequency. At most COMMON of them."""
-    top = (
-        sig.select(F.explode("prefix").alias("token"))
-        .groupBy("token")
-        .count()
-        .filter(F.col("count") >= OFTEN)
-        .orderBy(F.desc("count"), "token")
-        .limit(COMMON)
-        .toPandas()
-    )
+    counts = saved(sig.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= OFTEN), "often")
+    top = most_frequent(counts, "token", "count", COMMON, OFTEN).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(U)
     place = np.lexsort((tokens, top["count"].to_numpy(np.int64))).argsort()
     order = np.argsort(tokens)

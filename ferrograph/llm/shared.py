@@ -59,7 +59,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a saved table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def most_frequent(counts: DataFrame, key: str, n: str, most: int, least: int = 1) -> DataFrame:
+    """The rows with the highest counts, `most` at most, none cut off among equal counts, with at least `least`.
+
+    A threshold from the histogram of counts: a top-k of this size would send k rows of every task to the driver.
+    """
+    high = 100_000
+    steps = counts.filter(F.col(n) >= least).groupBy(F.least(F.col(n), F.lit(high)).alias("n")).agg(F.count(key).alias("rows"))
+    total, cut = 0, None
+    for r in sorted(steps.collect(), key=lambda r: -r["n"]):
+        total += r["rows"]
+        if total > most:
+            break
+        cut = r["n"]
+    return counts.filter(F.lit(False)) if cut is None else counts.filter(F.col(n) >= cut)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -84,7 +109,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = saved(
+        before, e = e, saved(
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
             .select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
@@ -92,6 +117,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             .distinct(),
             "cc",
         )
+        forget(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == sign:
             break
