@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ferrograph.config import EngineConfig
 from ferrograph.errors import GraphError
-from ferrograph.plans.store import saved
+from ferrograph.plans.store import forget, saved
 
 #: Edges that an adjacency in memory may have.
 IN_MEMORY = 2_000_000
@@ -144,7 +144,8 @@ def components(vertices: DataFrame, edges: DataFrame, limit: int = 60) -> DataFr
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
-        e = saved(moved.select("u", F.col("m").alias("v")).union(moved.select("v", "m")).filter("u <> v").distinct())
+        before, e = e, saved(moved.select("u", F.col("m").alias("v")).union(moved.select("v", "m")).filter("u <> v").distinct())
+        forget(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == sign:
             break
@@ -185,9 +186,11 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 100, alpha: fl
         got = share.join(rank, share["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         new = rank.join(got, rank["id"] == got["dst"], "left").crossJoin(F.broadcast(lost))
         new = new.select("id", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("rank"), F.col("rank").alias("was"))
-        new = saved(new)
+        new, before = saved(new), rank
+        forget(before)
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance is not None else None
-        rank = new.select("id", "rank")
+        rank = new.drop("was")
+        rank._saved_at = new._saved_at
         if moved is not None and moved < n * tolerance:
             break
     return rank
@@ -202,7 +205,8 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -
         votes = votes.unionAll(label.select("id", "community", F.lit(0.5)))
         sums = votes.groupBy("id", "community").agg(F.sum("weight").alias("w"))
         w = Window.partitionBy("id").orderBy(F.desc("w"), "community")
-        label = saved(sums.withColumn("n", F.row_number().over(w)).filter("n = 1").select("id", "community"))
+        before, label = label, saved(sums.withColumn("n", F.row_number().over(w)).filter("n = 1").select("id", "community"))
+        forget(before)
     return label
 
 

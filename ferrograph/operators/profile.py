@@ -131,9 +131,12 @@ def entropy_numeric(df: DataFrame, columns: Sequence[str], bins: int = 20) -> Da
     return entropy(long.groupBy("column", place.cast("string").alias("value")).agg(F.count("*").alias("n")))
 
 
-def first_values(df: DataFrame, column: str, order: Sequence[str], k: int = 100) -> DataFrame:
-    """The first k non-null values of a column, in the order of other columns: a top-k, not a sort of the table."""
-    value = present(df, column).cast("string").alias("value")
+def first_values(df: DataFrame, column: str, order: Sequence[str], k: int = 100, width: int = 256) -> DataFrame:
+    """The first k non-null values of a column, in the order of other columns: a top-k, not a sort of the table.
+
+    Values are cut to `width` characters: what is tested on them (dates, truth values, UUIDs, numbers) is shorter.
+    """
+    value = F.substring(present(df, column).cast("string"), 1, width).alias("value")
     return df.filter(present(df, column).isNotNull()).orderBy(*order).limit(k).select(F.lit(column).alias("column"), value)
 
 
