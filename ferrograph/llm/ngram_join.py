@@ -471,12 +471,12 @@ def apart(
     hot = hot.join(bits, "node").withColumn("own", own)
     # a list of several blocks is dealt as pairs of blocks
     hot = hot.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    hot = hot.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "pos", "root", "parity")
+    hot = hot.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "root", "parity")
     hot = hot.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n")
 
     def run(batches):
         tk.lean()
-        names = ("token", "one", "two", "own", "node", "n", "pos", "root", "parity")
+        names = ("token", "one", "two", "own", "node", "n", "root", "parity")
         held, last, found = [[] for _ in names], None, set()
         for batch in batches:
             for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
@@ -504,18 +504,21 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _near(cols: list[list], ratio: Ratio, x: int, best: bool):
-    """Pairs of a list (or of two of its blocks), sorted by size, that sizes, places and bitmaps allow to link."""
+    """Pairs of a list (or of two of its blocks), sorted by size, that sizes and bitmaps allow to link.
+
+    Places in the order tell nothing here: the pair's first element in common may stand in another list.
+    """
     if len(cols[0]) < 2:
         return
     at_best: dict[int, tuple[int, int]] = {}
     one, two = cols[1][0], cols[2][0]
-    own, node, n, pos, root = (np.array(c, np.int64) for c in cols[3:8])
-    width = np.array([len(p) for p in cols[8]])
+    own, node, n, root = (np.array(c, np.int64) for c in cols[3:7])
+    width = np.array([len(p) for p in cols[7]])
     # for each width the bitmaps of that width, and those twice as wide folded to it
     table: dict[int, np.ndarray] = {}
     for w in set(width.tolist()):
         m = np.zeros((len(n), w // 8), U)
-        for i, p in enumerate(cols[8]):
+        for i, p in enumerate(cols[7]):
             if len(p) == w:
                 m[i] = np.frombuffer(p, U)
             elif len(p) == 2 * w:
@@ -528,7 +531,6 @@ def _near(cols: list[list], ratio: Ratio, x: int, best: bool):
         if one != two:
             j = j[own[j] != own[i]]
         wanted = ratio.overlap(n[i], n[j])
-        j, wanted = (v[1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= wanted] for v in (j, wanted))
         if len(j):
             m = table[width[i]]
             differ = np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)

@@ -79,6 +79,15 @@ def test_common_elements_and_blocks(spark, monkeypatch):
     assert run(spark, rows, 5, 80, 100) == brute(rows, 5, 80, 100)
 
 
+def test_long_lists_of_rare_elements(spark, monkeypatch):
+    """Lists that turn out longer than their count promised are led and compared too."""
+    monkeypatch.setattr(nj, "OFTEN", 30)
+    short = nj.scan
+    monkeypatch.setattr(nj, "scan", lambda lists, ratio, x, often: short(lists, ratio, x, often, long=3))
+    rows = sample(11, 250)
+    assert run(spark, rows) == brute(rows, 4, 85, 100)
+
+
 def test_on_data(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op1_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect())
