@@ -421,9 +421,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     comp = saved(components(links), "comp")
 
     # lists that were only scanned against leaders: compare what is still apart
-    token = pairs.filter("shared = -2").select(F.col("a").alias("token"))
-    for best in (True, True, False):  # the nearest first: then most sets of a group are connected, and few pairs are left
-        far = apart(posted.filter("pos >= 0"), token, comp, cand, sig, ratio, x, best)
+    led = led_lists(posted.filter("pos >= 0"), pairs.filter("shared = -2").select(F.col("a").alias("token")))
+    for best in (True, False):  # the nearest first: then most sets of a group are connected, and few pairs are left
+        far = apart(led, comp, cand, sig, ratio, x, best)
         if far.isEmpty():
             break
         cand = cand.unionByName(far)
@@ -454,15 +454,17 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return saved(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "comp")
 
 
-def apart(
-    posted: DataFrame, token: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, ratio: Ratio, x: int, best: bool
-) -> DataFrame:
-    """Pairs of one list of a common element in different components that may link and have not been compared.
+def led_lists(posted: DataFrame, token: DataFrame) -> DataFrame:
+    """token, node, n of the lists that were only scanned against leaders; of equal sets once."""
+    return saved(posted.join(token.distinct(), "token").select("token", "node", "n").distinct(), "led")
+
+
+def apart(led: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, ratio: Ratio, x: int, best: bool) -> DataFrame:
+    """Pairs of one of these lists in different components that may link and have not been compared.
 
     With `best`, of each set and list only the pair whose bitmaps differ least.
     """
-    hot = posted.join(token.distinct(), "token").dropDuplicates(["token", "node"])
-    hot = hot.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hot = led.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"))
     mixed = mixed.filter("r0 <> r1").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     hot = saved(hot.join(mixed, "token"), "hot")
