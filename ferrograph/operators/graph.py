@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ferrograph.config import EngineConfig
 from ferrograph.errors import GraphError
-from ferrograph.plans.store import forget, saved
+from ferrograph.plans.store import forget, saved, ship
 
 #: Edges that an adjacency in memory may have.
 IN_MEMORY = 2_000_000
@@ -235,6 +235,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     """id, betweenness, normalised for directed graphs. Brandes' algorithm: sources (all, or a seeded sample scaled up)
     are dealt to tasks, each with the adjacency; partial sums meet in an aggregation. A weight is a distance."""
     spark = vertices.sparkSession
+    ship(spark)
     ids, src, dst, w = adjacency(vertices, edges)
     n = len(ids)
     shared = spark.sparkContext.broadcast(_neighbours(n, src, dst, w if weighted else np.ones(len(w))))

@@ -1,11 +1,28 @@
-"""Tables written to the shared folder, to cut the lineage of loops."""
+"""Tables written to the shared folder, to cut the lineage of loops; and the package sent to the executors."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp()
+        staged = Path(folder, "staged")
+        shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}-package", "zip", staged))
+        shutil.rmtree(staged)
+        _SHIPPED.add(sc.applicationId)
 
 
 def saved(df: DataFrame) -> DataFrame:

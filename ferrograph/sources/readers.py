@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ferrograph.config import EngineConfig
 from ferrograph.errors import DataError
+from ferrograph.plans.store import ship
 
 _READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,6 +104,7 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
 @reader(".xlsx")
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """The first sheet of a workbook, read from its zipped XML on an executor; columns are typed as in CSV."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
