@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrograph.plans import store
+
 #: Sides of a join with at most this many narrow rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 300_000
-
-
 #: Bytes of an Arrow batch on its way to or from Python.
 ARROW_BYTES = str(4 << 20)
-_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that their Python workers can import it.
-
-    Arrow batches are bounded in bytes too, for texts may be long.
-    """
-    sc = spark.sparkContext
+    """Send the package to the executors; Arrow batches are bounded in bytes too, for texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    if sc.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp()
-        staged = Path(folder, "staged")
-        shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}-package", "zip", staged))
-        shutil.rmtree(staged)
-        _SHIPPED.add(sc.applicationId)
+    store.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
