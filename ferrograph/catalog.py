@@ -28,6 +28,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def graph_query(sql: str | None = None) -> Callable[[Callable[[DataFrame, DataFrame], DataFrame]], Query]:
+    """A query of (vertices, edges): with SQL on the part of the graph that the SQL reads, and as NAME_whole on all rows."""
+
+    def add(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+        def on(part: bool) -> Query:
+            return lambda spark, d: f(vertices(spark, d, part), edges(spark, d, part))
+
+        if sql:
+            _QUERIES[f.__name__], _SQL[f.__name__] = on(True), sql
+        whole = f"{f.__name__}_whole" if sql else f.__name__
+        _QUERIES[whole] = on(False)
+        return _QUERIES[whole]
+
+    return add
+
+
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -108,15 +124,21 @@ def wide(spark: SparkSession) -> DataFrame:
 WIDE_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}', {i})" for i, (e, c) in enumerate(WIDE)) + ') AS v(entity, "column", place))'
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Customer to order status and priority, nation to region, customer to nation: a small directed graph with weights."""
-    c, o = t(spark, d, "customer"), t(spark, d, "orders")
-    own = c.filter("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit(1.0).alias("weight"))
-    part = t(spark, d, "nation").filter("n_nationkey % 5 <> 4").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.lit(0.5))
-    use = o.filter("o_custkey % 10 = 0").groupBy("o_custkey", "o_orderpriority").count()
+def edges(spark: SparkSession, d: str, part: bool = False) -> DataFrame:
+    """Customer to order status and priority, nation to region, customer to nation: a directed graph with weights.
+
+    part: only the rows that EDGES reads.
+    """
+    c, o, n = t(spark, d, "customer"), t(spark, d, "orders"), t(spark, d, "nation")
+    to_region = n
+    if part:
+        c, o, to_region = c.filter("c_custkey % 10 = 0"), o.filter("o_custkey % 10 = 0"), n.filter("n_nationkey % 5 <> 4")
+    own = c.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit(1.0).alias("weight"))
+    to_region = to_region.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.lit(0.5))
+    use = o.groupBy("o_custkey", "o_orderpriority").count()
     use = use.select(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)), F.col("count").cast("double"))
-    more = t(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("p"), (F.col("n_regionkey") + 1)), F.lit(0.25)).distinct()
-    return own.union(part).union(use).union(more)
+    more = n.select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("p"), (F.col("n_regionkey") + 1)), F.lit(0.25)).distinct()
+    return own.union(to_region).union(use).union(more)
 
 
 EDGES = """e AS (
@@ -127,11 +149,11 @@ EDGES = """e AS (
 v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey <= 5))"""
 
 
-def vertices(spark: SparkSession, d: str) -> DataFrame:
-    """The ends of the edges, and five suppliers that have none."""
-    e = edges(spark, d)
-    alone = t(spark, d, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).union(alone).distinct()
+def vertices(spark: SparkSession, d: str, part: bool = False) -> DataFrame:
+    """The ends of the edges, and the suppliers, that have none (five of them in `part`)."""
+    e, alone = edges(spark, d, part), t(spark, d, "supplier")
+    alone = alone.filter("s_suppkey <= 5") if part else alone
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).union(alone.select(F.concat(F.lit("s"), "s_suppkey").alias("id"))).distinct()
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -486,44 +508,44 @@ def fk_edges(spark, d):
     return graph.fk_edges(k, a, b, "order_status", "order_priority", "idx", 0.7, "HAS")
 
 
-@query(f"""WITH {EDGES}, x AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)
+@graph_query(f"""WITH {EDGES}, x AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)
 SELECT v.id, coalesce(sum(i), 0)::BIGINT AS in_degree, coalesce(sum(o), 0)::BIGINT AS out_degree, coalesce(sum(o + i), 0)::BIGINT AS degree FROM v LEFT JOIN x ON v.id = x.id GROUP BY v.id""")
-def degree(spark, d):
-    return longs(graph.degrees(vertices(spark, d), edges(spark, d)), "in_degree", "out_degree", "degree")
+def degree(v, e):
+    return longs(graph.degrees(v, e), "in_degree", "out_degree", "degree")
 
 
-@query(f"""WITH {EDGES}, x AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e)
+@graph_query(f"""WITH {EDGES}, x AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e)
 SELECT v.id, round(count(x.id)::DOUBLE / ((SELECT count(*) FROM v) - 1), 6) AS centrality FROM v LEFT JOIN x ON v.id = x.id GROUP BY v.id""")
-def degree_centrality(spark, d):
-    return rounded(graph.degree_centrality(vertices(spark, d), edges(spark, d)), "centrality")
+def degree_centrality(v, e):
+    return rounded(graph.degree_centrality(v, e), "centrality")
 
 
-@query(f"WITH {EDGES}, n AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m) SELECT n AS n_nodes, m AS n_edges, round(2 * m::DOUBLE / n, 6) AS avg_degree, round(m::DOUBLE / (n * (n - 1)), 6) AS density FROM n")
-def density(spark, d):
-    return rounded(graph.density(vertices(spark, d), edges(spark, d)), "avg_degree", "density")
+@graph_query(f"WITH {EDGES}, n AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m) SELECT n AS n_nodes, m AS n_edges, round(2 * m::DOUBLE / n, 6) AS avg_degree, round(m::DOUBLE / (n * (n - 1)), 6) AS density FROM n")
+def density(v, e):
+    return rounded(graph.density(v, e), "avg_degree", "density")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
+@graph_query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
 r AS (SELECT id, id AS c FROM v UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.id)
 SELECT id, min(c) AS component FROM r GROUP BY id""")
-def components(spark, d):
-    return graph.components(vertices(spark, d), edges(spark, d))
+def components(v, e):
+    return graph.components(v, e)
 
 
-@query(f"""WITH {EDGES}, b AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM e WHERE src <> dst),
+@graph_query(f"""WITH {EDGES}, b AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM e WHERE src <> dst),
 g AS (SELECT id, count(*) AS n FROM (SELECT x AS id FROM b UNION ALL SELECT y FROM b) GROUP BY id),
 z AS (SELECT p.x AS i, p.y AS j, q.y AS k FROM b p JOIN b q ON p.y = q.x JOIN b r ON r.x = p.x AND r.y = q.y),
 c AS (SELECT id, count(*) AS n FROM (SELECT i AS id FROM z UNION ALL SELECT j FROM z UNION ALL SELECT k FROM z) GROUP BY id)
 SELECT v.id, coalesce(c.n, 0) AS triangles, round(CASE WHEN g.n > 1 THEN 2.0 * coalesce(c.n, 0) / (g.n * (g.n - 1)) ELSE 0 END, 6) AS clustering
 FROM v LEFT JOIN g USING (id) LEFT JOIN c USING (id)""")
-def triangles(spark, d):
-    return rounded(graph.triangles(vertices(spark, d), edges(spark, d)), "clustering")
+def triangles(v, e):
+    return rounded(graph.triangles(v, e), "clustering")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, l AS (SELECT id, 0 AS level FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.id)
+@graph_query(f"""WITH RECURSIVE {EDGES}, l AS (SELECT id, 0 AS level FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.id)
 SELECT id, max(level) AS level FROM l GROUP BY id""")
-def hierarchy(spark, d):
-    return graph.hierarchy(vertices(spark, d), edges(spark, d))
+def hierarchy(v, e):
+    return graph.hierarchy(v, e)
 
 
 _RANKS = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS rank FROM v)"] + [
@@ -533,35 +555,35 @@ _RANKS = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS rank FROM v)"] +
 ]
 
 
-@query(f"WITH {EDGES}, p AS (SELECT src, dst, sum(weight) / any_value(t) AS p FROM (SELECT *, sum(weight) OVER (PARTITION BY src) AS t FROM e) GROUP BY src, dst), " + ", ".join(_RANKS) + " SELECT id, round(rank, 8) AS rank FROM r5")
-def pagerank_k(spark, d):
-    return rounded(graph.pagerank(vertices(spark, d), edges(spark, d), rounds=5, tolerance=None), "rank", places=8)
+@graph_query(f"WITH {EDGES}, p AS (SELECT src, dst, sum(weight) / any_value(t) AS p FROM (SELECT *, sum(weight) OVER (PARTITION BY src) AS t FROM e) GROUP BY src, dst), " + ", ".join(_RANKS) + " SELECT id, round(rank, 8) AS rank FROM r5")
+def pagerank_k(v, e):
+    return rounded(graph.pagerank(v, e, rounds=5, tolerance=None), "rank", places=8)
 
 
-@query(f"WITH {EDGES} SELECT id FROM v WHERE id IN (SELECT src FROM e UNION ALL SELECT dst FROM e)")
-def isolated_prune(spark, d):
-    return graph.drop_isolated(vertices(spark, d), edges(spark, d))
+@graph_query(f"WITH {EDGES} SELECT id FROM v WHERE id IN (SELECT src FROM e UNION ALL SELECT dst FROM e)")
+def isolated_prune(v, e):
+    return graph.drop_isolated(v, e)
 
 
-@query(f"WITH {EDGES} SELECT src, dst, weight FROM e WHERE weight >= 0.4")
-def weak_prune(spark, d):
-    return graph.prune_weak(edges(spark, d), 0.4)
+@graph_query(f"WITH {EDGES} SELECT src, dst, weight FROM e WHERE weight >= 0.4")
+def weak_prune(v, e):
+    return graph.prune_weak(e, 0.4)
 
 
-@query()
-def betweenness(spark, d):
-    return graph.betweenness(vertices(spark, d), edges(spark, d))
+@graph_query()
+def betweenness(v, e):
+    return graph.betweenness(v, e)
 
 
-@query()
-def louvain(spark, d):
-    found = graph.louvain(vertices(spark, d), edges(spark, d))
-    return spark.createDataFrame(list(found.items()), "id string, community int")
+@graph_query()
+def louvain(v, e):
+    found = graph.louvain(v, e)
+    return v.sparkSession.createDataFrame(list(found.items()), "id string, community int")
 
 
-@query()
-def label_communities(spark, d):
-    return graph.label_propagation(vertices(spark, d), edges(spark, d), rounds=5)
+@graph_query()
+def label_communities(v, e):
+    return graph.label_propagation(v, e, rounds=5)
 
 
 # --- vectors and scores -----------------------------------------------------------------------------------------------
@@ -663,34 +685,32 @@ def vector_norms(spark, d):
     return vectors(spark, d).select("id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query()
-def neighbour_sample(spark, d):
-    return graph.sample_neighbours(edges(spark, d), vertices(spark, d).filter("id like 'r%'"))
+@graph_query()
+def neighbour_sample(v, e):
+    return graph.sample_neighbours(e, v.filter("id like 'r%'"))
 
 
-@query()
-def graph_statistics(spark, d):
-    v, e = vertices(spark, d), edges(spark, d)
+@graph_query()
+def graph_statistics(v, e):
     row = graph.statistics(v, e, graph.louvain(v, e))
-    return spark.createDataFrame([(k, float(x)) for k, x in row.items()], "statistic string, value double")
+    return v.sparkSession.createDataFrame([(k, float(x)) for k, x in row.items()], "statistic string, value double")
 
 
-@query()
-def graph_layouts(spark, d):
-    v, e = vertices(spark, d), edges(spark, d)
+@graph_query()
+def graph_layouts(v, e):
     rows = [(name, i, *map(float, p)) for name, f in (("spring", graph.spring_layout), ("kamada_kawai", graph.kamada_kawai_layout)) for i, p in f(v, e).items()]
     flat = graph.hierarchical_layout(graph.hierarchy(v, e).join(graph.label_propagation(v, e, 2).withColumn("community", F.length("community")), "id"))
-    return spark.createDataFrame(rows, "layout string, id string, x double, y double").unionByName(flat.select(F.lit("hierarchical").alias("layout"), "id", "x", "y"))
+    return v.sparkSession.createDataFrame(rows, "layout string, id string, x double, y double").unionByName(flat.select(F.lit("hierarchical").alias("layout"), "id", "x", "y"))
 
 
-@query()
-def gnn_train(spark, d):
-    v, e = vertices(spark, d).filter("id not like 's%'"), edges(spark, d)
+@graph_query()
+def gnn_train(v, e):
+    v = v.filter("id not like 's%'")
     deg = graph.degrees(v, e)
     kind = [(F.substring("id", 1, 1) == k).cast("double") for k in "cnrp"]
     config = EngineConfig(training=Training(epochs=10, rate=0.01), network=Network(hidden=16, out=8))
     trainer, _ = network.train_graph(v, e, deg.select("id", F.array(*kind, F.log1p("degree")).alias("features")), config)
-    return trainer.train().table(spark)
+    return trainer.train().table(v.sparkSession)
 
 
 @query()
@@ -712,9 +732,9 @@ def cleaned_table(spark, d):
     return clean.clean(dirty(spark, d), {"status": "categorical", "cents": "numeric", "day": "datetime", "flag": "boolean", "note": "text", "ts": "datetime"}, "idx")
 
 
-@query()
-def cytoscape_export(spark, d):
-    return writers.cytoscape_elements(vertices(spark, d), edges(spark, d))
+@graph_query()
+def cytoscape_export(v, e):
+    return writers.cytoscape_elements(v, e)
 
 
 @query("SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS place, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50000")
@@ -739,16 +759,16 @@ def bottlenecks(spark, d):
     return insight.bottlenecks(t(spark, d, "supplier").select(k.alias("id"), ((k % 9) / 30).alias("betweenness"), (k % 3).alias("out_degree")))
 
 
-@query(f"""WITH {EDGES}, n AS (SELECT (SELECT count(*) FROM v)::DOUBLE AS n, (SELECT count(*) FROM e)::DOUBLE AS m)
+@graph_query(f"""WITH {EDGES}, n AS (SELECT (SELECT count(*) FROM v)::DOUBLE AS n, (SELECT count(*) FROM e)::DOUBLE AS m)
 SELECT round(0.4 * least(m / n, 1) + 0.4 * least(9 / n, 1) + 0.2 * greatest(0, 1 - 4 / n), 4) AS health FROM n""")
-def graph_health(spark, d):
-    r = graph.density(vertices(spark, d), edges(spark, d)).first()
-    return spark.createDataFrame([(insight.health(r["n_nodes"], r["n_edges"], 9, r["n_nodes"], 4),)], "health double")
+def graph_health(v, e):
+    r = graph.density(v, e).first()
+    return v.sparkSession.createDataFrame([(insight.health(r["n_nodes"], r["n_edges"], 9, r["n_nodes"], 4),)], "health double")
 
 
-@query(f"WITH {EDGES} SELECT src, " + ", ".join(f"coalesce(max(weight) FILTER (dst = 'p{i}'), 0) AS p{i}" for i in range(1, 6)) + " FROM e WHERE dst LIKE 'p%' GROUP BY src")
-def relationship_matrix(spark, d):
-    return insight.relationship_matrix(edges(spark, d).filter("dst like 'p%'"), [f"p{i}" for i in range(1, 6)])
+@graph_query(f"WITH {EDGES} SELECT src, " + ", ".join(f"coalesce(max(weight) FILTER (dst = 'p{i}'), 0) AS p{i}" for i in range(1, 6)) + " FROM e WHERE dst LIKE 'p%' GROUP BY src")
+def relationship_matrix(v, e):
+    return insight.relationship_matrix(e.filter("dst like 'p%'"), [f"p{i}" for i in range(1, 6)])
 
 
 # --- stream -----------------------------------------------------------------------------------------------------------

@@ -240,3 +240,38 @@ def test_schema_summary(spark):
     pairs = keys.fk_pairs(keys.value_sets(df, keys.pair_columns({r["column"]: r["semantic_type"] for r in types.collect()})))
     text = profile.schema_summary(types, keys.primary_keys(df, ["k"]), pairs)
     assert "a_id -> b_id (1.00)" in text and "key: b_id" in text
+
+
+def test_whole_graph_against_brute_force(spark):
+    """All customers, orders, nations and suppliers are in the graph of the queries that no SQL cuts."""
+    from collections import Counter
+
+    from ferrograph import catalog
+    from tests.conftest import DATA
+
+    read = lambda name, *cols: [tuple(r) for r in spark.read.parquet(f"{DATA}/{name}.parquet").select(*cols).collect()]
+    nations = read("nation", "n_nationkey", "n_regionkey")
+    e = [(f"c{c}", f"n{n}", 1.0) for c, n in read("customer", "c_custkey", "c_nationkey")] + [(f"n{n}", f"r{r}", 0.5) for n, r in nations]
+    e += [(f"c{c}", f"p{p[0]}", float(k)) for (c, p), k in Counter(read("orders", "o_custkey", "o_orderpriority")).items()]
+    e += [(f"r{r}", f"p{r + 1}", 0.25) for r in {r for _, r in nations}]
+    v = {x for a, b, _ in e for x in (a, b)} | {f"s{s}" for s, in read("supplier", "s_suppkey")}
+    q = catalog.queries()
+    ran = lambda name: [tuple(r) for r in q[name](spark, DATA).collect()]
+    ends = Counter(x for a, b, _ in e for x in (a, b))
+    assert {r[0]: r[-1] for r in ran("degree_whole")} == {x: ends[x] for x in v}
+    assert sorted(ran("weak_prune_whole")) == sorted(x for x in e if x[2] >= 0.4)
+    root = {x: x for x in v}
+    for _ in v:
+        for a, b, _ in e:
+            root[a] = root[b] = min(root[a], root[b])
+    assert dict(ran("components_whole")) == root
+    near = {x: {b for a, b, _ in e if a == x} | {a for a, b, _ in e if b == x} for x in v}
+    assert {r[0]: r[1] for r in ran("triangles_whole")} == {x: sum(len(near[x] & near[y]) for y in near[x]) // 2 for x in v}
+    best = {}
+    for a, b, w in e:
+        if b[0] == "p":
+            best[a, b] = max(w, best.get((a, b), 0))
+    assert {(r[0], f"p{i}"): r[i] for r in ran("relationship_matrix_whole") for i in range(1, 6) if r[i]} == best
+    assert {r[0] for r in ran("louvain")} == {r[0] for r in ran("label_communities")} == v
+    whole = {f"{n}_whole" for n, sql in catalog.oracle_sql().items() if "FROM customer WHERE c_custkey % 10 = 0" in sql and "supplier WHERE s_suppkey <= 5" in sql}
+    assert len(whole) == 11 and whole <= set(q)
