@@ -619,6 +619,12 @@ def link_candidates(spark, d):
     return rounded(insight.link_candidates(vectors(spark, d).filter("id < 60"), ring(spark, d)), "probability")
 
 
+@query()
+def link_candidates_whole(spark, d):
+    """Of all embeddings; the SQL above reads 60."""
+    return rounded(insight.link_candidates(vectors(spark, d), ring(spark, d)), "probability")
+
+
 _MEAN = f"""{_RING}, b AS (SELECT src AS id, dst AS n FROM g UNION ALL SELECT dst, src FROM g),
 c AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings), f AS (SELECT id, i, embedding[i]::DOUBLE AS x FROM c),
 m AS (SELECT b.id, f.i, avg(f.x) AS m FROM b JOIN f ON f.id = b.n GROUP BY ALL),

@@ -275,3 +275,22 @@ def test_whole_graph_against_brute_force(spark):
     assert {r[0] for r in ran("louvain")} == {r[0] for r in ran("label_communities")} == v
     whole = {f"{n}_whole" for n, sql in catalog.oracle_sql().items() if "FROM customer WHERE c_custkey % 10 = 0" in sql and "supplier WHERE s_suppkey <= 5" in sql}
     assert len(whole) == 11 and whole <= set(q)
+
+
+def test_links_of_all_vectors(spark):
+    """Pairs of all embeddings, whatever the blocks, and not of the first sixty."""
+    from ferrograph import catalog
+    from tests.conftest import DATA
+
+    rows = sorted(tuple(r) for r in catalog.vectors(spark, DATA).select("id", "embedding").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    p = 1 / (1 + np.exp(-(x @ x.T)))
+    linked = {tuple(r) for r in catalog.ring(spark, DATA).collect()}
+    every = ((ids[i], ids[j], p[i, j]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (ids[i], ids[j]) not in linked)
+    want = sorted(every, key=lambda r: -r[2])[:20]
+    assert max(r[1] for r in want) >= 60
+    near = lambda got: np.allclose(sorted(r[2] for r in got), sorted(r[2] for r in want), atol=1e-5) and {tuple(r[:2]) for r in got} == {r[:2] for r in want}
+    assert near(catalog.queries()["link_candidates_whole"](spark, DATA).collect())
+    v = catalog.vectors(spark, DATA).select("id", "embedding")
+    assert near(insight.link_candidates(v, catalog.ring(spark, DATA), block=70).collect())
