@@ -8,7 +8,8 @@ A short item inside a long document has a tiny Jaccard similarity, so items are
 of two, and for each size class a document is cut into overlapping windows of that scale: windows of twice the
 class's largest size, half overlapping, of which one holds any stretch of that size whole. A window and an item of its class
 are compared by one-permutation MinHash, as many bins as the window has shingles at most: every bin keeps
-its least hash, and one equal bin makes a candidate. Candidates are verified on the document's whole set of shingles.
+its least hash, and one equal bin makes a candidate. Items of the least class (up to 8 shingles) have too few bins to
+spare, since other shingles of a window may take them: one equal shingle makes them candidates. Candidates are verified on the document's whole set of shingles.
 
 The items are a stated query set: their signatures and shingles are broadcast block by block, each block
 of at most `block_shingles` shingles, against all documents; documents are never shuffled or collected.
@@ -30,6 +31,8 @@ from ferrograph.llm import textkit as tk
 from ferrograph.llm.shared import saved, small
 
 U = np.uint64
+#: The size class that is looked up by all its shingles, not by bins.
+EXACT = 8
 HIT = "doc_id long, item_id long, n_item long, n_common long, containment double"
 
 
@@ -59,7 +62,7 @@ class Items:
             keys, who = [], []
             for at, g in enumerate(self.sets):
                 if size_class(len(g)) == cls:
-                    sig = least_by_bin(g, np.zeros(len(g), np.int64), bins_of(cls))[1]
+                    sig = g if cls <= EXACT else least_by_bin(g, np.zeros(len(g), np.int64), bins_of(cls))[1]
                     keys.append(sig)
                     who.append(np.full(len(sig), at))
             keys, who = np.concatenate(keys), np.concatenate(who)
@@ -94,6 +97,11 @@ def candidates(grams: np.ndarray, items: Items) -> set[int]:
         maybe = maybe[keys[at] == grams[maybe]]
         if not len(maybe):
             continue
+        if cls <= EXACT:
+            equal = np.unique(grams[maybe])
+            for a, b in zip(np.searchsorted(keys, equal).tolist(), np.searchsorted(keys, equal, "right").tolist()):
+                out.update(who[a:b].tolist())
+            continue
         # only windows with a shingle of an item can have an equal bin: build those
         starts = np.unique(np.concatenate([maybe // cls, np.maximum(maybe // cls - 1, 0)]))
         place = (starts[:, None] * cls + np.arange(2 * cls)).ravel()

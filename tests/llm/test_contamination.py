@@ -53,3 +53,15 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert run(spark, [], [(1, "a b c")]) == [] and run(spark, [(1, "a b c")], []) == []
+
+
+def test_items_of_few_shingles(spark):
+    """Short items whole in a document are found whatever other shingles their windows hold."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(5 + i % 3)) for i in range(300)] + [(900, say(12)), (901, say(13))]
+    docs = [(i, " . ".join(say(30) + " " + q for _, q in items[i::10]) + " " + say(30)) for i in range(10)]
+    want = brute(docs, items)
+    assert len(want) == len(items)
+    assert run(spark, docs, items) == want
