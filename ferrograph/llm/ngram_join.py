@@ -425,7 +425,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     for best in (True, False):  # the nearest first: then most sets of a group are connected, and few pairs are left
         far = apart(led, comp, cand, sig, ratio, x, best)
         if far.isEmpty():
-            break
+            continue
         cand = cand.unionByName(far)
         comp = merged(comp, saved(verified(far, reps, docs, k, ratio), "links"))
     root = reps.join(comp, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))

@@ -112,3 +112,19 @@ def test_boundary_weighs_both_costs():
     r = nj.Ratio(17, 20)
     assert [r.subsets(n) for n in (1, 5, 6, 7)] == [1, 1, 2, 9]
     assert 5 <= nj.boundary({n: 100 for n in range(1, 40)}, r, 4.0) < nj.LIGHT_MOST
+
+
+def test_full_round_follows_an_empty_one(spark, monkeypatch):
+    """If the nearest pairs give nothing new, the farther pairs of led lists are compared all the same."""
+    rounds, apart = [], nj.apart
+
+    def none_near(led, comp, cand, sig, ratio, x, best):
+        rounds.append(best)
+        return cand.limit(0) if best else apart(led, comp, cand, sig, ratio, x, best)
+
+    monkeypatch.setattr(nj, "OFTEN", 3)
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    monkeypatch.setattr(nj, "apart", none_near)
+    rows = sample(7)
+    assert run(spark, rows) == brute(rows, 4, 85, 100)
+    assert rounds == [True, False]
