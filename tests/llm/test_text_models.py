@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -27,17 +28,55 @@ def test_round_trip_equals_library(spark):
         assert got[i].decoded == sp.decode(ids) and got[i].decoded_sha256 == digest(sp.decode(ids))
 
 
-def test_own_merges_equal_library():
+WORDS = ["▁therention", "▁éauxment", "▁" + "ab" * 200, "zzz", "▁#$%", "▁▁▁▁x", "▁" + "é" * 70, "▁" + "the" * 40]
+
+
+def test_own_merges_equal_library(monkeypatch):
+    p = pieces.Pieces(queries.tokenizer())
+    text = "".join(w.replace("▁", " ") for w in WORDS) + "\n" + "\n".join(WORDS[:3])
+    ids, starts = p.encode([text, "", text[5:]])
+    assert ids.tolist() == p.sp.encode(text) + p.sp.encode(text[5:]) and starts[1] == starts[2]
+    # chunks that merge in step, and those that have a heap each
+    for most in (1, 10_000):
+        monkeypatch.setattr(pieces, "LONG", most)
+        assert (p.encode([text, "", text[5:]])[0] == ids).all()
+
+
+def test_ids_come_from_the_agenda():
+    p = pieces.Pieces(queries.tokenizer())
+    texts = ["the thing that is there and the other", "in the end"]
+    want = [i for t in texts for i in p.sp.encode(t)]
+    assert p.encode(texts, 0)[0].tolist() == want
+    p.made[:, 0] = -1  # no pair is in the vocabulary
+    broken = p.encode(texts)[0].tolist()
+    assert broken != want and len(broken) == sum(len(t) + 1 for t in texts)
+    with pytest.raises(pieces.Differs):
+        p.encode(texts, 0)
+
+
+def test_every_chunk_is_checked_in_turn():
+    p = pieces.Pieces(queries.tokenizer())
+    text = " ".join(f"w{i}th" for i in range(200))
+    seen = set()
+    plain = p.library
+    p.library = lambda chunks: (seen.update(chunks), plain(chunks))[1]
+    for turn in range(pieces.CHECKED):
+        p.encode([text], turn)
+    assert len(seen) == 200
+
+
+def test_hashes_that_collide(monkeypatch):
     p = pieces.Pieces(queries.tokenizer())
-    words = ["▁therention", "▁éauxment", "▁" + "ab" * 200, "zzz", "▁#$%", "▁▁▁▁x", "▁" + "é" * 70]
-    assert [p.ids(w) for w in words] == p.library(words)
-    assert p.merge("▁" + "the" * 40) == p._merge_long("▁" + "the" * 40)
+    texts = ["the thing", "that is", "a\n\nb"]
+    want = [i for t in texts for i in p.sp.encode(t)]
+    monkeypatch.setattr(pieces.tk, "mix", lambda x: x * pieces.U(0))
+    assert p.encode(texts, 0)[0].tolist() == want
 
 
-@pytest.mark.parametrize("ids", [[5, 200, 300], [200, 201, 1000], [3, 130], [0, 5], [1, 400, 2], []])
+@pytest.mark.parametrize("ids", [[5, 200, 300], [200, 201, 1000], [3, 130], [0, 5], [1, 400, 2], [], [1, 2], [2, 29871, 29871, 500]])
 def test_decode_any_ids(ids):
     p = pieces.Pieces(queries.tokenizer())
-    assert p.decode(",".join(map(str, ids))).decode() == p.sp.decode(ids)
+    assert p.decode(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode() == p.sp.decode(ids)
 
 
 def test_language_accuracy(spark):
