@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrograph.config import EngineConfig, Network, Training
+from ferrograph.config import EngineConfig, Ingestion, Network, Training
 from ferrograph.functions import vector
 from ferrograph.operators import clean, entities, graph, insight, keys, names, network, profile, relations
+from ferrograph.plans.store import new_path
 from ferrograph.sources import readers, writers
 from ferrograph.streaming import events as stream
 
@@ -29,17 +30,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def graph_query(sql: str | None = None) -> Callable[[Callable[[DataFrame, DataFrame], DataFrame]], Query]:
-    """A query of (vertices, edges): with SQL on the part of the graph that the SQL reads, and as NAME_whole on all rows."""
+    """A query of (vertices, edges) of the whole graph of the tables."""
 
     def add(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-        def on(part: bool) -> Query:
-            return lambda spark, d: f(vertices(spark, d, part), edges(spark, d, part))
-
+        _QUERIES[f.__name__] = lambda spark, d: f(vertices(spark, d), edges(spark, d))
         if sql:
-            _QUERIES[f.__name__], _SQL[f.__name__] = on(True), sql
-        whole = f"{f.__name__}_whole" if sql else f.__name__
-        _QUERIES[whole] = on(False)
-        return _QUERIES[whole]
+            _SQL[f.__name__] = sql
+        return f
 
     return add
 
@@ -124,17 +121,11 @@ def wide(spark: SparkSession) -> DataFrame:
 WIDE_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}', {i})" for i, (e, c) in enumerate(WIDE)) + ') AS v(entity, "column", place))'
 
 
-def edges(spark: SparkSession, d: str, part: bool = False) -> DataFrame:
-    """Customer to order status and priority, nation to region, customer to nation: a directed graph with weights.
-
-    part: only the rows that EDGES reads.
-    """
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customer to order status and priority, nation to region, customer to nation: a directed graph with weights."""
     c, o, n = t(spark, d, "customer"), t(spark, d, "orders"), t(spark, d, "nation")
-    to_region = n
-    if part:
-        c, o, to_region = c.filter("c_custkey % 10 = 0"), o.filter("o_custkey % 10 = 0"), n.filter("n_nationkey % 5 <> 4")
     own = c.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit(1.0).alias("weight"))
-    to_region = to_region.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.lit(0.5))
+    to_region = n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.lit(0.5))
     use = o.groupBy("o_custkey", "o_orderpriority").count()
     use = use.select(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)), F.col("count").cast("double"))
     more = n.select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("p"), (F.col("n_regionkey") + 1)), F.lit(0.25)).distinct()
@@ -142,18 +133,18 @@ def edges(spark: SparkSession, d: str, part: bool = False) -> DataFrame:
 
 
 EDGES = """e AS (
-  SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 1.0::DOUBLE AS weight FROM customer WHERE c_custkey % 10 = 0
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.5 FROM nation WHERE n_nationkey % 5 <> 4
-  UNION ALL SELECT 'c' || o_custkey, 'p' || substr(o_orderpriority, 1, 1), count(*)::DOUBLE FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey, o_orderpriority
+  SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 1.0::DOUBLE AS weight FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.5 FROM nation
+  UNION ALL SELECT 'c' || o_custkey, 'p' || substr(o_orderpriority, 1, 1), count(*)::DOUBLE FROM orders GROUP BY o_custkey, o_orderpriority
   UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'p' || (n_regionkey + 1), 0.25 FROM nation),
-v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey <= 5))"""
+v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e UNION ALL SELECT 's' || s_suppkey FROM supplier))"""
 
 
-def vertices(spark: SparkSession, d: str, part: bool = False) -> DataFrame:
-    """The ends of the edges, and the suppliers, that have none (five of them in `part`)."""
-    e, alone = edges(spark, d, part), t(spark, d, "supplier")
-    alone = alone.filter("s_suppkey <= 5") if part else alone
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).union(alone.select(F.concat(F.lit("s"), "s_suppkey").alias("id"))).distinct()
+def vertices(spark: SparkSession, d: str) -> DataFrame:
+    """The ends of the edges, and the suppliers, that have none."""
+    e = edges(spark, d)
+    alone = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).union(alone).distinct()
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -275,9 +266,33 @@ def semantic_types_text(spark, d):
     return profile.semantic_types(p, ["doc_id"], ["text", "lang", "code", "flag", "day", "nothing"])
 
 
-@query()
+_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+_PROFILE = """SELECT '{c}' AS "column", n_rows, n_missing, round(n_missing / n_rows, 6) AS missing_rate, n_distinct, round(n_distinct / n_rows, 6) AS unique_ratio, {numbers}, {words} AS avg_tokens,
+  round({entropy}, 5) AS entropy, round(coalesce(f[1], 0) / (n_rows - n_missing), 6) AS top1, round(coalesce(f[2], 0) / (n_rows - n_missing), 6) AS top2, round(coalesce(f[3], 0) / (n_rows - n_missing), 6) AS top3,
+  {kind} AS semantic_type FROM (SELECT count(*) AS n_rows, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct, avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS lo, max({x}) AS hi FROM orders),
+  (SELECT list(n ORDER BY n DESC) AS f, sum(n) AS a, sum(n * ln(n)) AS nln FROM (SELECT count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c}))"""
+_STATS = "round(mean, 4) AS mean, round(std, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max, round(CASE WHEN hi > lo THEN mean / (hi - lo + 1e-9) ELSE 0 END, 4) AS norm_mean, round(std / (abs(mean) + 1e-9), 4) AS cv"
+_BINS = """(SELECT -sum(n / a * ln(n / a)) FROM (SELECT *, sum(n) OVER () AS a FROM (SELECT least(floor((o.{c}::DOUBLE - lo) / (hi - lo) * least(n_distinct, 20)), least(n_distinct, 20) - 1) AS p, count(*) AS n FROM orders o GROUP BY p)))"""
+_KIND = "(SELECT CASE WHEN count(DISTINCT {c}) / count(*) > 0.95 THEN 'id' WHEN avg(len(regexp_extract_all({c}, '[^ ]+'))) > 3 THEN 'text' ELSE 'categorical' END FROM orders)"
+
+
+def _profile_sql(c: str) -> str:
+    number, words = c in _NUMBERS, c in ("o_orderstatus", "o_orderpriority")
+    return _PROFILE.format(
+        c=c,
+        x=f"{c}::DOUBLE" if number else "NULL::DOUBLE",
+        numbers=_STATS if number else ", ".join(f"0.0::DOUBLE AS {k}" for k in ("mean", "std", "min", "max", "norm_mean", "cv")),
+        words=f"(SELECT round(avg(len(regexp_extract_all({c}, '[^ ]+'))), 4) FROM orders)" if words else "0.0::DOUBLE",
+        entropy=_BINS.format(c=c) if number else "greatest(ln(a) - nln / a, 0)",
+        kind="'numeric'" if number else _KIND.format(c=c) if words else "'datetime'",
+    )
+
+
+@query("\nUNION ALL ".join(map(_profile_sql, ORDERS)))
 def column_profile(spark, d):
-    return profile.column_profile(t(spark, d, "orders"), ["o_orderkey"])
+    out = profile.column_profile(t(spark, d, "orders").select(*ORDERS), ["o_orderkey"])
+    out = rounded(out, "missing_rate", "unique_ratio", "top1", "top2", "top3")
+    return rounded(rounded(out, "mean", "std", "min", "max", "norm_mean", "cv", "avg_tokens", places=4), "entropy", places=5)
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------------------
@@ -570,9 +585,13 @@ def weak_prune(v, e):
     return graph.prune_weak(e, 0.4)
 
 
-@graph_query()
+@graph_query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT src AS s, dst AS t, weight AS d, [src, dst] AS path FROM e
+  UNION ALL SELECT w.s, e.dst, w.d + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.t),
+m AS (SELECT s, t, min(d) AS d FROM w GROUP BY s, t), q AS (SELECT path, count(*) OVER (PARTITION BY s, t) AS k FROM w JOIN m USING (s, t, d)),
+x AS (SELECT unnest(path[2:-2]) AS id, 1 / k AS part FROM q), n AS (SELECT count(*)::DOUBLE AS n FROM v)
+SELECT v.id, round(coalesce(sum(part), 0) / any_value((n - 1) * (n - 2)), 9) AS betweenness FROM v CROSS JOIN n LEFT JOIN x USING (id) GROUP BY v.id""")
 def betweenness(v, e):
-    return graph.betweenness(v, e)
+    return rounded(graph.betweenness(v, e), "betweenness", places=9)
 
 
 @graph_query()
@@ -581,7 +600,14 @@ def louvain(v, e):
     return v.sparkSession.createDataFrame(list(found.items()), "id string, community int")
 
 
-@graph_query()
+_LABELS = ", b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), l0 AS (SELECT id, id AS community FROM v)" + "".join(
+    f""", l{i} AS (SELECT id, community FROM (SELECT id, community, row_number() OVER (PARTITION BY id ORDER BY sum(weight) DESC, community) AS n
+  FROM (SELECT b.src AS id, l.community, b.weight FROM b JOIN l{i - 1} l ON l.id = b.dst UNION ALL SELECT id, community, 0.5 FROM l{i - 1}) GROUP BY id, community) WHERE n = 1)"""
+    for i in range(1, 6)
+)
+
+
+@graph_query(f"WITH {EDGES}{_LABELS} SELECT id, community FROM l5")
 def label_communities(v, e):
     return graph.label_propagation(v, e, rounds=5)
 
@@ -613,15 +639,9 @@ def ring(spark, d):
     return v.filter("id % 3 <> 0").select(F.col("id").alias("src"), ((F.col("id") + 1) % 500).alias("dst")).union(v.filter("id % 2 = 0").select("id", (F.col("id") * 7) % 500))
 
 
-@query(f"""WITH {_RING}, s AS (SELECT * FROM embeddings WHERE vec_id < 60), x AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1 / (1 + exp(-({_COS}))) AS probability FROM s a JOIN s b ON a.vec_id < b.vec_id)
+@query(f"""WITH {_RING}, s AS (SELECT * FROM embeddings), x AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1 / (1 + exp(-({_COS}))) AS probability FROM s a JOIN s b ON a.vec_id < b.vec_id)
 SELECT src, dst, round(probability, 6) AS probability FROM x WHERE probability >= 0.5 AND NOT EXISTS (SELECT 1 FROM g WHERE g.src = x.src AND g.dst = x.dst) ORDER BY x.probability DESC, src, dst LIMIT 20""")
 def link_candidates(spark, d):
-    return rounded(insight.link_candidates(vectors(spark, d).filter("id < 60"), ring(spark, d)), "probability")
-
-
-@query()
-def link_candidates_whole(spark, d):
-    """Of all embeddings; the SQL above reads 60."""
     return rounded(insight.link_candidates(vectors(spark, d), ring(spark, d)), "probability")
 
 
@@ -660,23 +680,26 @@ def importance(spark, d):
 
 
 @query(f"""WITH {_RING}, b AS (SELECT DISTINCT src AS i, dst AS n FROM g UNION SELECT dst, src FROM g UNION SELECT vec_id, vec_id FROM embeddings), k AS (SELECT i, count(*) AS k FROM b GROUP BY i),
-x AS (SELECT vec_id AS id, unnest(range(1, 4)) AS j, embedding FROM embeddings)
+x AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS j, embedding FROM embeddings)
 SELECT b.i AS id, x.j - 1 AS dim, round(sum(x.embedding[x.j]::DOUBLE / sqrt(p.k * q.k)), 5) AS value FROM b JOIN k p ON p.i = b.i JOIN k q ON q.i = b.n JOIN x ON x.id = b.n GROUP BY ALL""")
 def gcn_propagate(spark, d):
-    out = network.gcn_propagate(vectors(spark, d).select("id", F.slice("embedding", 1, 3).alias("embedding")), ring(spark, d))
+    out = network.gcn_propagate(vectors(spark, d).select("id", "embedding"), ring(spark, d))
     return rounded(longs(out.select("id", F.posexplode("embedding").alias("dim", "value")), "dim"), "value", places=5)
 
 
-@query(f"WITH {_RING}, x AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a FROM embeddings) SELECT g.dst AS id, round(avg(x.a), 6) AS mean, round(max(x.a), 6) AS max, round(sum(x.a), 6) AS sum FROM g JOIN x ON x.id = g.src GROUP BY g.dst")
+@query(f"""WITH {_RING}, x AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS j, embedding FROM embeddings), y AS (SELECT id, j - 1 AS dim, embedding[j]::DOUBLE AS a FROM x)
+SELECT g.dst AS id, y.dim, round(avg(y.a), 6) AS mean, round(max(y.a), 6) AS max, round(sum(y.a), 6) AS sum FROM g JOIN y ON y.id = g.src GROUP BY ALL""")
 def neighbour_aggregates(spark, d):
-    near = ring(spark, d).join(vectors(spark, d).select(F.col("id").alias("src"), F.slice("embedding", 1, 1).alias("v")), "src").select(F.col("dst").alias("id"), "v")
-    parts = [vector.vector_sum(near, "id", "v", how=h).select("id", F.round(F.get("v", F.lit(0)), 6).alias(h)) for h in ("mean", "max", "sum")]
-    return parts[0].join(parts[1], "id").join(parts[2], "id")
+    near = ring(spark, d).join(vectors(spark, d).select(F.col("id").alias("src"), F.col("embedding").alias("v")), "src").select(F.col("dst").alias("id"), "v")
+    parts = [vector.vector_sum(near, "id", "v", how=h).select("id", F.posexplode("v").alias("dim", h)).withColumn(h, F.round(h, 6)) for h in ("mean", "max", "sum")]
+    return longs(parts[0].join(parts[1], ["id", "dim"]).join(parts[2], ["id", "dim"]), "dim")
 
 
-@query()
+@query(f"""WITH {_RING}, x AS (SELECT DISTINCT src, dst FROM g),
+s AS (SELECT x.src, x.dst, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(len(a.embedding)) AS s FROM x JOIN embeddings a ON a.vec_id = x.src JOIN embeddings b ON b.vec_id = x.dst)
+SELECT src, dst, round(exp(s) / sum(exp(s)) OVER (PARTITION BY dst), 6) AS weight FROM s""")
 def gat_attention(spark, d):
-    return network.attention(vectors(spark, d).select("id", "embedding"), ring(spark, d))
+    return rounded(network.attention(vectors(spark, d).select("id", "embedding"), ring(spark, d)), "weight")
 
 
 @query("""WITH s AS (SELECT avg(c_acctbal) AS m1, stddev_pop(c_acctbal) AS s1, avg(c_nationkey) AS m2, stddev_pop(c_nationkey) AS s2 FROM customer)
@@ -696,9 +719,20 @@ def neighbour_sample(v, e):
     return graph.sample_neighbours(e, v.filter("id like 'r%'"))
 
 
-@graph_query()
+@graph_query(f"""WITH RECURSIVE {EDGES}{_LABELS}, u AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM e WHERE src <> dst),
+g AS (SELECT id, count(*) AS n FROM (SELECT x AS id FROM u UNION ALL SELECT y FROM u) GROUP BY id),
+z AS (SELECT p.x AS i, p.y AS j, q.y AS k FROM u p JOIN u q ON p.y = q.x JOIN u r ON r.x = p.x AND r.y = q.y),
+c AS (SELECT id, count(*) AS n FROM (SELECT i AS id FROM z UNION ALL SELECT j FROM z UNION ALL SELECT k FROM z) GROUP BY id),
+r AS (SELECT id, id AS c FROM v UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.id), o AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+big AS (SELECT c, count(*) AS n FROM o GROUP BY c ORDER BY n DESC, c LIMIT 1),
+h AS (SELECT id AS s, id AS t, 0 AS d FROM o JOIN big USING (c) WHERE big.n BETWEEN 2 AND 499 UNION SELECT h.s, b.dst, h.d + 1 FROM h JOIN b ON b.src = h.t WHERE h.d < 500 AND h.s <> b.dst),
+n AS (SELECT (SELECT count(*) FROM v)::DOUBLE AS n, (SELECT count(*) FROM e)::DOUBLE AS m)
+SELECT 'n_nodes' AS statistic, n AS value FROM n UNION ALL SELECT 'n_edges', m FROM n UNION ALL SELECT 'avg_degree', round(2 * m / n, 6) FROM n
+UNION ALL SELECT 'density', round(m / (n * (n - 1)), 6) FROM n UNION ALL SELECT 'n_components', count(DISTINCT c) FROM o
+UNION ALL SELECT 'avg_clustering', round(avg(CASE WHEN g.n > 1 THEN 2.0 * coalesce(c.n, 0) / (g.n * (g.n - 1)) ELSE 0 END), 6) FROM v LEFT JOIN g USING (id) LEFT JOIN c USING (id)
+UNION ALL SELECT 'diameter', coalesce((SELECT max(d) FROM (SELECT min(d) AS d FROM h GROUP BY s, t)), -1) UNION ALL SELECT 'n_communities', count(DISTINCT community) FROM l5""")
 def graph_statistics(v, e):
-    row = graph.statistics(v, e, graph.louvain(v, e))
+    row = {k: round(x, 6) for k, x in graph.statistics(v, e, graph.label_propagation(v, e, rounds=5)).items()}
     return v.sparkSession.createDataFrame([(k, float(x)) for k, x in row.items()], "statistic string, value double")
 
 
@@ -733,9 +767,19 @@ def discovered_relations(spark, d):
     return spark.createDataFrame(rows, "source string, target string, name string, type string, confidence double, cardinality string")
 
 
-@query()
+_ALONG = """coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING),
+  first_value({c} IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"""WITH {DIRTY}, c AS (SELECT idx, CASE WHEN lower(trim(status)) = 'nan' THEN NULL ELSE trim(status) END AS status, try_cast(trim(cents) AS DOUBLE) AS cents,
+  coalesce(try_strptime(day, '%Y-%m-%d'), try_strptime(day, '%Y%m%d')) AS day,
+  CASE WHEN lower(trim(flag)) IN ('1', 'true', 'yes') THEN true WHEN lower(trim(flag)) IN ('0', 'false', 'no') THEN false END AS flag, trim(note) AS note, ts FROM d),
+m AS (SELECT status FROM c WHERE status IS NOT NULL GROUP BY status ORDER BY count(*) DESC, status LIMIT 1)
+SELECT idx, coalesce(status, (SELECT status FROM m)) AS status, coalesce(cents, (SELECT median(cents) FROM c)) AS cents, strftime({_ALONG.format(c="day")}, '%Y-%m-%d') AS day,
+  flag, coalesce(note, '') AS note, strftime({_ALONG.format(c="ts")}, '%Y-%m-%d') AS ts FROM c""")
 def cleaned_table(spark, d):
-    return clean.clean(dirty(spark, d), {"status": "categorical", "cents": "numeric", "day": "datetime", "flag": "boolean", "note": "text", "ts": "datetime"}, "idx")
+    out = clean.clean(dirty(spark, d), {"status": "categorical", "cents": "numeric", "day": "datetime", "flag": "boolean", "note": "text", "ts": "datetime"}, "idx")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("day", "ts")})
 
 
 @graph_query()
@@ -747,10 +791,48 @@ def cytoscape_export(v, e):
 def row_cap(spark, d):
     from pyspark.sql import Window
 
-    first = t(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(EngineConfig().ingestion.max_rows)
+    config = EngineConfig(ingestion=Ingestion(max_rows=50_000))
+    first = readers.load(spark, f"{d}/orders.parquet", config, order=["o_orderkey"]).select("o_orderkey")
     return first.withColumn("place", F.row_number().over(Window.orderBy("o_orderkey")).cast("long"))
 
 
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+_LOADED = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"
+
+
+def _loaded(spark: SparkSession, d: str, suffix: str, form: str, **options: str) -> DataFrame:
+    """Orders, written in a format and read back by the suffix."""
+    path = f"{new_path(spark)}{suffix}"
+    t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").write.format(form).options(**options).save(path)
+    return longs(readers.load(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", "o_custkey")
+
+
+@query(_LOADED)
+def load_csv(spark, d):
+    return _loaded(spark, d, ".csv", "csv", header="true")
+
+
+@query(_LOADED)
+def load_tsv(spark, d):
+    return _loaded(spark, d, ".tsv", "csv", header="true", sep="\t")
+
+
+@query(_LOADED)
+def load_jsonl(spark, d):
+    return _loaded(spark, d, ".jsonl", "json")
+
+
+@query(_LOADED)
+def load_parquet(spark, d):
+    return _loaded(spark, d, ".parquet", "parquet")
+
+
+@query(_LOADED)
+def load_xml(spark, d):
+    return _loaded(spark, d, ".xml", "xml", rootTag="orders", rowTag="order")
+
+
 # --- insight ----------------------------------------------------------------------------------------------------------
 
 

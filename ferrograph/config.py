@@ -9,7 +9,8 @@ from ferrograph.errors import ConfigError
 
 @dataclass(frozen=True)
 class Ingestion:
-    max_rows: int = 50_000
+    max_rows: int | None = None  # rows that a file gives at most; all if unset
+    csv_multiline: bool = False  # cells of CSV files may hold line feeds; such files are not split among tasks
     date_formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd")
     text_tokens: float = 3
     id_uniqueness: float = 0.95

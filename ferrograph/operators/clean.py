@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +43,54 @@ def coerce(df: DataFrame, types: dict[str, str], config: EngineConfig | None = N
     return df.withColumns(change)
 
 
-def _with_row(df: DataFrame, row: dict[str, Column]) -> tuple[DataFrame, list[str]]:
-    """`df` beside one row of aggregates over it."""
-    one = df.agg(*(v.alias(f"_{k}") for k, v in row.items()))
-    return df.crossJoin(F.broadcast(one)), [f"_{k}" for k in row]
+#: Rows of which a median is taken by one aggregate, which keeps all their distinct values.
+ONE_BUFFER = 1_000_000
+
+
+def medians(df: DataFrame, columns: Sequence[str], most: int = ONE_BUFFER) -> dict[str, float | None]:
+    """The exact median of each column, without nulls and NaN (None if nothing is left).
+
+    Of more than `most` rows, sketched quantiles bracket the middle ranks; what lies outside is counted only, and the
+    bracket is narrowed until an aggregate can hold it or one value fills it.
+    """
+    xs = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    sizes = df.agg(*(F.count(x).alias(c) for c, x in xs.items())).first()
+    few = [c for c in columns if sizes[c] <= most]
+    out = df.agg(*(F.median(xs[c]).alias(c) for c in few)).first().asDict() if few else {}
+    for c in columns:
+        if c not in out:
+            part, n = df.select(xs[c].alias("x")).filter("x is not null"), sizes[c]
+            middle = [_kth(part, n, k, most) for k in sorted({(n - 1) // 2, n // 2})]
+            out[c] = sum(middle) / len(middle)
+    return out
+
+
+def _kth(part: DataFrame, n: int, k: int, most: int) -> float:
+    """The k-th smallest (from 0) of the n rows x of `part`."""
+    x, slack = F.col("x"), 0.01
+    while n > most:
+        low, high = part.approxQuantile("x", [max(0.0, k / n - slack), min(1.0, k / n + slack)], slack / 4)
+        seen = part.agg(
+            F.count_if(x < low).alias("below"),
+            F.count_if(x == low).alias("low"),
+            F.count_if((x > low) & (x < high)).alias("between"),
+            F.count_if((x == high) & (x > low)).alias("high"),
+        ).first()
+        at = k - seen["below"]
+        if not 0 <= at < seen["low"] + seen["between"] + seen["high"]:
+            slack *= 2
+        elif at < seen["low"]:
+            return low
+        elif at >= seen["low"] + seen["between"]:
+            return high
+        else:
+            part, n, k = part.filter((x > low) & (x < high)), seen["between"], at - seen["low"]
+    return part.agg(F.sort_array(F.collect_list("x"))[k].alias("x")).first()["x"]
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    both, extra = _with_row(df, {c: F.median(c) for c in columns})
-    return both.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in columns}).drop(*extra)
+    middle = medians(df, columns)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double")) for c in columns})
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,7 +107,8 @@ def fill_along(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """Nulls take the last value before them in the order of a column, or else the next after.
 
     The order is global, but no task holds it all: rows are cut into ranges of the order, each range
-    fills itself, and the ends of the ranges (one row each) carry values over its borders.
+    fills itself, and the ends of the ranges (one row each) carry values over its borders. Both windows end at the row
+    itself, so each is one pass over its sorted range. Rows without an order come first.
     """
     # a fixed number of ranges by quantiles of the order column
     spark = df.sparkSession
@@ -78,9 +118,10 @@ def fill_along(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     for cut in sorted(set(cuts)):
         bucket = bucket + F.when(F.col(order) > cut, 1).otherwise(0)
     cut_up = df.withColumn("_r", bucket)
+    place = F.struct(F.col(order).isNotNull(), F.col(order))
     ends = cut_up.groupBy("_r").agg(
-        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_l_{c}") for c in columns),
-        *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f_{c}") for c in columns),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_l_{c}") for c in columns),
+        *(F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_f_{c}") for c in columns),
     )
     up = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
@@ -89,12 +130,12 @@ def fill_along(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
         *(F.last(f"_l_{c}", ignorenulls=True).over(up).alias(f"_b_{c}") for c in columns),
         *(F.first(f"_f_{c}", ignorenulls=True).over(down).alias(f"_a_{c}") for c in columns),
     )
-    inside = Window.partitionBy("_r").orderBy(order)
-    before, after = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    before = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("_r").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = cut_up.join(F.broadcast(carried), "_r")
     return out.select(
         *(
-            F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"_b_{c}"), F.first(c, ignorenulls=True).over(after), F.col(f"_a_{c}")).alias(c)
+            F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"_b_{c}"), F.last(c, ignorenulls=True).over(after), F.col(f"_a_{c}")).alias(c)
             if c in columns
             else F.col(c)
             for c in df.columns

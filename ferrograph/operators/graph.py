@@ -6,6 +6,7 @@ form (Brandes, breadth-first search, Louvain) works on an adjacency of checked s
 
 from __future__ import annotations
 
+import logging
 from collections import deque
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from ferrograph.plans.store import forget, saved, ship
 
 #: Edges that an adjacency in memory may have.
 IN_MEMORY = 2_000_000
+#: Vertices of which all pairs may be held in matrices.
+IN_MATRIX = 20_000
 
 
 # --- building -------------------------------------------------------------------------------------------------------
@@ -155,11 +158,13 @@ def components(vertices: DataFrame, edges: DataFrame, limit: int = 60) -> DataFr
     return vertices.select("id").join(e.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
-def hierarchy(vertices: DataFrame, edges: DataFrame, bound: int | None = None) -> DataFrame:
-    """id, level: the longest path from a vertex without predecessors, `bound` at most (cycles); unreached is 0."""
+def hierarchy(vertices: DataFrame, edges: DataFrame, bound: int = 64) -> DataFrame:
+    """id, level: the longest path from a vertex without predecessors; unreached is 0.
+
+    A cycle has no longest path, so levels end at `bound`, and a warning names it if the graph goes deeper.
+    """
     ids = vertices.select("id")
     e = edges.filter("src <> dst").select("src", "dst").distinct()
-    bound = ids.count() if bound is None else bound
     front = ids.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("level"))
     level = front = saved(front)
     for depth in range(1, bound + 1):
@@ -167,6 +172,8 @@ def hierarchy(vertices: DataFrame, edges: DataFrame, bound: int | None = None) -
         if front.isEmpty():
             break
         level = level.unionAll(front)
+    else:
+        logging.getLogger(__name__).warning("levels end at %d: the graph has a cycle or longer paths", bound)
     best = level.groupBy("id").agg(F.max("level").alias("level"))
     return ids.join(best, "id", "left").fillna(0, ["level"])
 
@@ -198,7 +205,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 100, alpha: fl
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, community: every vertex takes the label with most weight around it (its own counts half), the smallest of several."""
-    both = saved(edges.filter("src <> dst").select("src", "dst", "weight").unionAll(edges.select("dst", "src", "weight")))
+    e = edges.filter("src <> dst")
+    both = saved(e.select("src", "dst", "weight").unionAll(e.select("dst", "src", "weight")))
     label = saved(vertices.select("id", F.col("id").alias("community")))
     for _ in range(rounds):
         votes = both.join(label, both["dst"] == label["id"]).select(F.col("src").alias("id"), "community", "weight")
@@ -380,12 +388,15 @@ def _bfs(near: list, s: int) -> list[tuple[int, int]]:
     return list(dist.items())
 
 
-def statistics(vertices: DataFrame, edges: DataFrame, communities: dict | None = None) -> dict:
+def statistics(vertices: DataFrame, edges: DataFrame, communities: dict | DataFrame | None = None) -> dict:
     row = density(vertices, edges).first().asDict()
     row["n_components"] = components(vertices, edges).select("component").distinct().count()
     row["avg_clustering"] = triangles(vertices, edges).agg(F.avg("clustering")).first()[0] or 0.0
     row["diameter"] = diameter(vertices, edges)
-    row["n_communities"] = len(set(communities.values())) if communities else 0
+    if isinstance(communities, DataFrame):
+        row["n_communities"] = communities.select("community").distinct().count()
+    else:
+        row["n_communities"] = len(set(communities.values())) if communities else 0
     return row
 
 
@@ -401,10 +412,13 @@ def spring_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 50, seed:
     n = len(ids)
     pos = np.random.default_rng(seed).random((n, 2))
     k, t = np.sqrt(1 / max(n, 1)), 0.1
+    block = max(1, 4_000_000 // max(n, 1))  # rows of the distances that are held at once
     for _ in range(rounds):
-        delta = pos[:, None] - pos[None]
-        far = np.maximum(np.linalg.norm(delta, axis=2), 0.01)
-        push = (delta * (k * k / far**2)[:, :, None]).sum(axis=1)
+        push = np.empty((n, 2))
+        for lo in range(0, n, block):
+            delta = pos[lo : lo + block, None] - pos[None]
+            far = np.maximum(np.linalg.norm(delta, axis=2), 0.01)
+            push[lo : lo + block] = (delta * (k * k / far**2)[:, :, None]).sum(axis=1)
         pull = pos[src] - pos[dst]
         pull = pull * np.linalg.norm(pull, axis=1, keepdims=True) / k
         np.add.at(push, src, -pull)
@@ -416,9 +430,14 @@ def spring_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 50, seed:
 
 
 def kamada_kawai_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 60, seed: int = 42) -> dict:
-    """Positions whose distances follow path lengths, by majorising the weighted stress; parts lie one diameter and a step apart."""
+    """Positions whose distances follow path lengths, by majorising the weighted stress; parts lie one diameter and a step apart.
+
+    It needs matrices of all pairs, so graphs of over IN_MATRIX vertices are refused.
+    """
     ids, src, dst, w = adjacency(vertices, edges)
     n = len(ids)
+    if n > IN_MATRIX:
+        raise GraphError("the graph is too large for a matrix of all pairs", most=IN_MATRIX)
     near = _neighbours(n, np.r_[src, dst], np.r_[dst, src], np.r_[w, w])
     far = np.full((n, n), np.nan)
     for s in range(n):

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ferrograph.config import EngineConfig
 from ferrograph.functions.text import to_time, token_count
+from ferrograph.plans.store import forget, saved
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TYPES = ("numeric", "categorical", "datetime", "boolean", "text", "id")
@@ -109,9 +110,7 @@ def topk_freq(counts: DataFrame, k: int = 3) -> DataFrame:
 
 def mode_value(counts: DataFrame) -> DataFrame:
     """column, mode: its most frequent value, the smallest of several."""
-    return counts.groupBy("column").agg(F.max_by("value", F.struct("n", F.lit(0))).alias("_any"), F.max("n").alias("n")).join(
-        counts, ["column", "n"]
-    ).groupBy("column").agg(F.min("value").alias("mode"), F.first("n").alias("n"))
+    return counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"), F.max("n").alias("n"))
 
 
 def entropy(counts: DataFrame) -> DataFrame:
@@ -120,11 +119,15 @@ def entropy(counts: DataFrame) -> DataFrame:
     return out.select("column", F.greatest(F.log("all") - F.col("s") / F.col("all"), F.lit(0.0)).alias("entropy"))
 
 
-def entropy_numeric(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:
-    """column, entropy of the equal-width histogram with as many bins as values, `bins` at most; the last one is closed."""
+def entropy_numeric(df: DataFrame, columns: Sequence[str], bins: int = 20, distinct: DataFrame | None = None) -> DataFrame:
+    """column, entropy of the equal-width histogram with as many bins as values, `bins` at most; the last one is closed.
+
+    distinct: the columns' n_distinct, if they are known.
+    """
+    distinct = distinct_ratio(df, columns) if distinct is None else distinct
     x = lambda c: present(df, c).cast("double")
     ends = _long(df, columns, {"lo": lambda c: F.min(x(c)), "hi": lambda c: F.max(x(c))})
-    ends = ends.join(distinct_ratio(df, columns).select("column", F.least("n_distinct", F.lit(bins)).alias("b")), "column")
+    ends = ends.join(distinct.select("column", F.least("n_distinct", F.lit(bins)).alias("b")), "column")
     cells = F.array(*(F.struct(F.lit(c).alias("column"), x(c).alias("v")) for c in columns))
     long = df.select(F.explode(cells).alias("x")).select("x.column", "x.v").filter("v is not null").join(F.broadcast(ends), "column")
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("b")), F.col("b") - 1)).otherwise(0)
@@ -140,9 +143,12 @@ def first_values(df: DataFrame, column: str, order: Sequence[str], k: int = 100,
     return df.filter(present(df, column).isNotNull()).orderBy(*order).limit(k).select(F.lit(column).alias("column"), value)
 
 
-def semantic_types(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, config: EngineConfig | None = None) -> DataFrame:
+def semantic_types(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, config: EngineConfig | None = None, distinct: DataFrame | None = None) -> DataFrame:
     """column, semantic_type. Checked in this order: boolean (of a sample; no value counts as one), numeric (physical
-    type), datetime (over 80 % of the sample parse), id (unique), text (words), categorical."""
+    type), datetime (over 80 % of the sample parse), id (unique), text (words), categorical.
+
+    distinct: the columns' unique_ratio, if they are known.
+    """
     c = (config or EngineConfig()).ingestion
     columns = list(columns or df.columns)
     sample = None
@@ -155,7 +161,7 @@ def semantic_types(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
     kinds = {f.name: "numeric" if isinstance(f.dataType, NUMERIC) else "time" if "timestamp" in f.dataType.typeName() or f.dataType.typeName() == "date" else "other" for f in df.schema.fields}
     kind = F.create_map(*(F.lit(v) for k in columns for v in (k, kinds[k])))[F.col("column")]
     words = [k for k in columns if kinds[k] == "other"]
-    out = distinct_ratio(df, columns).join(F.broadcast(seen), "column", "left")
+    out = (distinct_ratio(df, columns) if distinct is None else distinct).join(F.broadcast(seen), "column", "left")
     out = out.join(F.broadcast(avg_tokens(df, words)), "column", "left") if words else out.withColumn("avg_tokens", F.lit(0.0))
     return out.select(
         "column",
@@ -170,20 +176,29 @@ def semantic_types(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
 
 
 def column_profile(df: DataFrame, order: Sequence[str], config: EngineConfig | None = None) -> DataFrame:
-    """All of a column's statistics and its semantic type, one row per column."""
+    """All of a column's statistics and its semantic type, one row per column.
+
+    The value counts are one table, written once: distinct counts, entropy and frequent values read it.
+    """
     k = (config or EngineConfig()).features
-    counts = value_counts(df)
+    counts = saved(value_counts(df))
+    n = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    distinct = missing_rate(df).select("column", "n_rows").join(F.broadcast(n), "column", "left").fillna(0, ["n_distinct"])
+    distinct = saved(distinct.select("column", "n_distinct", (F.col("n_distinct") / F.greatest("n_rows", F.lit(1))).alias("unique_ratio")))
     numbers = numeric_columns(df)
     words = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     top = topk_freq(counts, k.top_k).groupBy("column").pivot("place", list(range(1, k.top_k + 1))).agg(F.first("freq"))
     top = top.select("column", *(F.col(str(i)).alias(f"top{i}") for i in range(1, k.top_k + 1)))
     bits = entropy(counts.filter(~F.col("column").isin(numbers))) if numbers else entropy(counts)
     if numbers:
-        bits = bits.unionByName(entropy_numeric(df, numbers, k.entropy_bins))
-    out = missing_rate(df).join(distinct_ratio(df), "column")
+        bits = bits.unionByName(entropy_numeric(df, numbers, k.entropy_bins, distinct))
+    out = missing_rate(df).join(distinct, "column")
     out = out.join(numeric_stats(df, numbers), "column", "left") if numbers else out
     out = out.join(avg_tokens(df, words), "column", "left") if words else out.withColumn("avg_tokens", F.lit(0.0))
-    return out.join(bits, "column", "left").join(top, "column", "left").join(semantic_types(df, order, config=config), "column", "left").fillna(0.0)
+    out = out.join(bits, "column", "left").join(top, "column", "left").join(semantic_types(df, order, config=config, distinct=distinct), "column", "left").fillna(0.0)
+    done = saved(out)  # a row per column; the counts are as large as the table, and go
+    forget(counts)
+    return done
 
 
 def quality_summary(profile: DataFrame, config: EngineConfig | None = None) -> str:

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrograph.errors import ConfigError
+
 _SHIPPED: set[str] = set()
 
 
@@ -25,11 +27,24 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A temporary one stands in for it in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors share", master=spark.sparkContext.master)
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex[:12]}"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that the cluster names in spark.checkpoint.dir (a temporary one where that is unset), and read back."""
+    """`df` written to the shared folder, and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path

@@ -6,7 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -31,9 +31,10 @@ def reader(*suffixes: str):
     return add
 
 
-def load(spark: SparkSession, source, config: EngineConfig | None = None) -> DataFrame:
-    """A table from a path (by suffix, at most `max_rows` rows), a dict (one row, or columns if its first value is a list),
-    a list of dicts, a pandas table or a DataFrame."""
+def load(spark: SparkSession, source, config: EngineConfig | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """A table from a path (by suffix), a dict (one row, or columns if its first value is a list), a list of dicts, a
+    pandas table or a DataFrame. If the settings have `max_rows`, a file gives that many rows at most: the first by the
+    columns of `order`, or any."""
     if isinstance(source, DataFrame):
         return source
     if isinstance(source, pd.DataFrame):
@@ -43,24 +44,27 @@ def load(spark: SparkSession, source, config: EngineConfig | None = None) -> Dat
         return spark.createDataFrame(pd.DataFrame(source if isinstance(first, list) else [source]))
     if isinstance(source, list):
         return spark.createDataFrame(pd.DataFrame(source))
+    ingestion = (config or EngineConfig()).ingestion
     suffix = posixpath.splitext(str(source).lower())[1]
     if suffix not in _READERS:
         raise DataError("no reader for this kind of file", path=str(source), known=sorted(_READERS))
     try:
-        df = _READERS[suffix](spark, str(source))
+        more = {"multiline": True} if suffix == ".csv" and ingestion.csv_multiline else {}
+        df = _READERS[suffix](spark, str(source), **more)
     except DataError:
         raise
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise DataError("there is no such file", path=str(source)) from e
         raise DataError("the file can't be read", path=str(source), cause=str(e)[:200]) from e
-    most = (config or EngineConfig()).ingestion.max_rows
-    return df.limit(most) if most else df
+    if not ingestion.max_rows:
+        return df
+    return (df.orderBy(*order) if order else df).limit(ingestion.max_rows)
 
 
 @reader(".csv")
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return spark.read.csv(path, header=True, inferSchema=True, multiLine=multiline, escape='"')
 
 
 @reader(".tsv")

@@ -82,6 +82,14 @@ def test_louvain_finds_cliques(spark):
     assert label["a1"] == label["a4"]
 
 
+def test_levels_of_a_long_cycle_are_bounded(spark, caplog):
+    n = 200
+    e = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(-1, 0)], "src long, dst long")
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    got = {r.id: r.level for r in graph.hierarchy(v, e, bound=6).collect()}
+    assert max(got.values()) == 6 and got[4] == 5 and "cycle" in caplog.text
+
+
 def test_ward_by_hand():
     x = np.array([[0.0], [0.1], [5.0], [5.2], [20.0]])
     a = entities.ward(x, 1.5)
@@ -116,6 +124,38 @@ def test_profile_edges(spark):
     assert "to drop" in profile.quality_summary(profile.column_profile(df, ["k"]))
 
 
+def test_exact_median_by_brackets(spark):
+    rng = np.random.default_rng(4)
+    cases = {
+        "even": list(rng.normal(size=400)),
+        "odd": list(rng.normal(size=401)),
+        "ties": [1.0] * 150 + [2.0] * 100 + list(rng.random(151)),
+        "hot": [5.0] * 390 + [1.0, 9.0],
+        "halves": [0.0] * 200 + [1.0] * 200,
+    }
+    for name, x in cases.items():
+        df = spark.createDataFrame([(float(v),) for v in [*x, float("nan")]] + [(None,)], "x double").repartition(3)
+        for most in (1, 10, 1000):
+            assert clean.medians(df, ["x"], most) == {"x": pytest.approx(np.median(x))}, (name, most)
+    empty = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    assert clean.medians(empty, ["x", "y"]) == {"x": None, "y": 1.0}
+    assert [r.x for r in clean.fill_median(empty, ["x"]).collect()] == [None]
+
+
+def test_fill_along_takes_linear_time(spark):
+    df = spark.range(300_000).select(F.col("id").alias("k"), F.lit(None).cast("double").alias("x"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert clean.fill_along(df, ["x"], "k").filter("x is null").count() == 300_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_fill_along_without_order(spark):
+    df = spark.createDataFrame([(None, 7.0), (3, None), (5, None), (9, 2.0)], "k long, x double")
+    assert sorted((r.k or -1, r.x) for r in clean.fill_along(df, ["x"], "k").collect()) == [(-1, 7.0), (3, 7.0), (5, 7.0), (9, 2.0)]
+
+
 def test_fill_along_crosses_ranges(spark):
     df = spark.createDataFrame([(i, float(i) if i in (3, 700) else None) for i in range(1000)], "k long, x double").repartition(5)
     got = [r.x for r in clean.fill_along(df, ["x"], "k").orderBy("k").collect()]
@@ -243,7 +283,7 @@ def test_schema_summary(spark):
 
 
 def test_whole_graph_against_brute_force(spark):
-    """All customers, orders, nations and suppliers are in the graph of the queries that no SQL cuts."""
+    """All customers, orders, nations and suppliers are in the graph of the queries."""
     from collections import Counter
 
     from ferrograph import catalog
@@ -258,23 +298,21 @@ def test_whole_graph_against_brute_force(spark):
     q = catalog.queries()
     ran = lambda name: [tuple(r) for r in q[name](spark, DATA).collect()]
     ends = Counter(x for a, b, _ in e for x in (a, b))
-    assert {r[0]: r[-1] for r in ran("degree_whole")} == {x: ends[x] for x in v}
-    assert sorted(ran("weak_prune_whole")) == sorted(x for x in e if x[2] >= 0.4)
+    assert {r[0]: r[-1] for r in ran("degree")} == {x: ends[x] for x in v}
+    assert sorted(ran("weak_prune")) == sorted(x for x in e if x[2] >= 0.4)
     root = {x: x for x in v}
     for _ in v:
         for a, b, _ in e:
             root[a] = root[b] = min(root[a], root[b])
-    assert dict(ran("components_whole")) == root
+    assert dict(ran("components")) == root
     near = {x: {b for a, b, _ in e if a == x} | {a for a, b, _ in e if b == x} for x in v}
-    assert {r[0]: r[1] for r in ran("triangles_whole")} == {x: sum(len(near[x] & near[y]) for y in near[x]) // 2 for x in v}
+    assert {r[0]: r[1] for r in ran("triangles")} == {x: sum(len(near[x] & near[y]) for y in near[x]) // 2 for x in v}
     best = {}
     for a, b, w in e:
         if b[0] == "p":
             best[a, b] = max(w, best.get((a, b), 0))
-    assert {(r[0], f"p{i}"): r[i] for r in ran("relationship_matrix_whole") for i in range(1, 6) if r[i]} == best
+    assert {(r[0], f"p{i}"): r[i] for r in ran("relationship_matrix") for i in range(1, 6) if r[i]} == best
     assert {r[0] for r in ran("louvain")} == {r[0] for r in ran("label_communities")} == v
-    whole = {f"{n}_whole" for n, sql in catalog.oracle_sql().items() if "FROM customer WHERE c_custkey % 10 = 0" in sql and "supplier WHERE s_suppkey <= 5" in sql}
-    assert len(whole) == 11 and whole <= set(q)
 
 
 def test_links_of_all_vectors(spark):
@@ -291,6 +329,6 @@ def test_links_of_all_vectors(spark):
     want = sorted(every, key=lambda r: -r[2])[:20]
     assert max(r[1] for r in want) >= 60
     near = lambda got: np.allclose(sorted(r[2] for r in got), sorted(r[2] for r in want), atol=1e-5) and {tuple(r[:2]) for r in got} == {r[:2] for r in want}
-    assert near(catalog.queries()["link_candidates_whole"](spark, DATA).collect())
+    assert near(catalog.queries()["link_candidates"](spark, DATA).collect())
     v = catalog.vectors(spark, DATA).select("id", "embedding")
     assert near(insight.link_candidates(v, catalog.ring(spark, DATA), block=70).collect())
