@@ -21,10 +21,12 @@ elements as their bitmaps differ in bits, so pairs with too many are out without
 others are. Of each set the nearest partner is tried first, and the rest after components are joined.
 No pair of linked sets is lost: sharing a list, it is compared or already connected.
 
-Equal sets are one node (a 64-bit digest of the set) from the start.
+Equal sets are one node from the start, known by a 64-bit digest of the set. A second digest finds sets that share the
+first without being equal; these take another node, so no two sets are taken for one by less than 128 bits.
 
-Nulls and texts without words are empty sets, which link with nothing. Rows that repeat a
-doc_id are kept, each with the same component. Extra columns are ignored.
+Nulls and texts without words are empty sets, which link with nothing. Rows without a doc_id link like others, and have
+the component of what they link with (null if no row there has an id). Rows that repeat a doc_id are kept, each with the
+component of its own text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,6 +83,21 @@ def _digest(g: np.ndarray) -> int:
     return int(x.view(np.int64)[0]) or 1
 
 
+def _check(g: np.ndarray) -> int:
+    """A second digest, of other sums than the first."""
+    if not len(g):
+        return 0
+    with np.errstate(over="ignore"):
+        x = tk.mix(tk.mix(g ^ U(0xC2B2AE3D27D4EB4F)).sum(dtype=U, keepdims=True) * U(0x165667B19E3779F9) + U(len(g)))
+    return int(x.view(np.int64)[0])
+
+
+def _node(g: np.ndarray, shared: set[int]) -> int:
+    """The node of a set; shared: digests that several sets have."""
+    d = _digest(g)
+    return d ^ _check(g) if d in shared else d
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, set) of a batch with a column text."""
     col = batch.column(batch.schema.get_field_index("text"))
@@ -89,26 +106,28 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(tk.row_shingles(h, first, k), lo)
 
 
-SIGNATURE = "doc_id long, node long, n long, prefix array<long>, parity binary"
+SIGNATURE = "doc_id long, key long, node long, other long, n long, prefix array<long>, parity binary"
 POSTING = "token long, node long, n int, pos int, common int"
 PAIR = "a long, b long, na int, nb int, shared int, common int"
 
 
 def signatures(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
-    """doc_id, node (set digest), n (set size), prefix (its smallest elements), parity; the last two null for sets the task had before."""
+    """doc_id, key (of the row's text), node (set digest), other (a second one), n (set size), prefix (its smallest elements),
+    parity; the last two null for sets the task had before."""
 
     def run(batches):
         tk.lean()
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            nodes, sizes, prefixes, bits = [], [], [], []
+            nodes, others, sizes, prefixes, bits = [], [], [], [], []
             for _, g in _sets(batch, k):
                 node = _digest(g)
                 nodes.append(node)
+                others.append(_check(g))
                 sizes.append(len(g))
-                if len(g) and node not in seen:
+                if len(g) and (node, others[-1]) not in seen:
                     if len(seen) < 500_000:
-                        seen.add(node)
+                        seen.add((node, others[-1]))
                     prefixes.append(g[: ratio.prefix(len(g))].view(np.int64))
                     bits.append(parity(g))
                 else:
@@ -116,16 +135,23 @@ def signatures(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
                     bits.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
+                    *(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "key")),
                     pa.array(nodes, pa.int64()),
+                    pa.array(others, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     _lists(prefixes),
                     pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "node", "n", "prefix", "parity"],
+                ["doc_id", "key", "node", "other", "n", "prefix", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", "key", "text").mapInArrow(run, SIGNATURE)
+
+
+def shared_digests(sig: DataFrame) -> set[int]:
+    """Digests that sets of different second digests have: about one for 10**10 sets, so they are few."""
+    two = sig.filter("n > 0").groupBy("node").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    return {r["node"] for r in two.filter("least <> most").select("node").collect()}
 
 
 def parity(g: np.ndarray) -> bytes:
@@ -171,7 +197,7 @@ def light_links(docs_sets: DataFrame) -> DataFrame:
     return docs_sets.join(low, "token").filter("a <> node").select("a", F.col("node").alias("b"))
 
 
-def postings(docs: DataFrame, k: int, ratio: Ratio, often: tuple[np.ndarray, np.ndarray], x: int) -> DataFrame:
+def postings(docs: DataFrame, k: int, ratio: Ratio, often: tuple[np.ndarray, np.ndarray], x: int, twins: set[int] = frozenset()) -> DataFrame:
     """Postings of heavy sets (pos >= 0), and subset keys of light ones (pos = -1); of equal sets of a task only once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(often)
@@ -209,7 +235,7 @@ def postings(docs: DataFrame, k: int, ratio: Ratio, often: tuple[np.ndarray, np.
         for batch in batches:
             for _, g in _sets(batch, k):
                 n = len(g)
-                node = _digest(g)
+                node = _node(g, twins)
                 if not n or node in seen:
                     continue
                 if len(seen) < 500_000:
@@ -368,14 +394,12 @@ def candidates(pairs: DataFrame, ratio: Ratio) -> DataFrame:
     return both.filter((F.col("least") < 0) | (F.col("shared") + F.col("common") + after >= wanted)).select("a", "b")
 
 
-def verified(cand: DataFrame, reps: DataFrame, docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
+def verified(cand: DataFrame, reps: DataFrame, docs: DataFrame, k: int, ratio: Ratio, twins: set[int] = frozenset()) -> DataFrame:
     """Those candidates whose whole texts' sets link: (a, b)."""
     need = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
-    need = saved(need.select("node", "rep"), "need")
-    ids = need.withColumnRenamed("rep", "doc_id")
-    if need.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("node", "text")
+    need = saved(need.select("node", "key"), "need")
+    ids = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    texts = docs.select("key", "text").join(ids, "key").select("node", "text")
     texts = saved(texts, "texts")
     both = cand.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
@@ -389,9 +413,9 @@ def verified(cand: DataFrame, reps: DataFrame, docs: DataFrame, k: int, ratio: R
                 _sets(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c))], ["text"]), k)
                 for c in ("ta", "tb")
             ]
-            # a doc_id may stand for several texts: the digests tell which ones the pair is of
+            # a key may stand for several texts: the digests tell which ones the pair is of
             keep = [
-                len(np.intersect1d(g, h, assume_unique=True)) >= ratio.overlap(len(g), len(h)) and (_digest(g), _digest(h)) == ids
+                len(np.intersect1d(g, h, assume_unique=True)) >= ratio.overlap(len(g), len(h)) and (_node(g, twins), _node(h, twins)) == ids
                 for (_, g), (_, h), ids in zip(*sets, zip(*(c.to_pylist() for c in ab)))
             ]
             mask = pa.array(keep, pa.bool_())
@@ -405,19 +429,24 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     g = np.gcd(num, den)
     ratio = Ratio(num // g, den // g)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows are found again by their id, and those without one by their text
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     sig = saved(signatures(docs, k, ratio), "sig")
+    twins = shared_digests(sig)
+    if twins:
+        sig = saved(sig.withColumn("node", F.when(F.col("node").isin(*twins), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node"))), "sig")
     often = common_elements(sig)
     counted = sig.filter("n > 0").agg(F.sum(F.size("prefix")).alias("all")).first()["all"] or 0
     few = sig.filter(f"n between 1 and {2 * LIGHT_MOST}").groupBy("n").count().limit(2 * LIGHT_MOST).collect()
     x = boundary({r["n"]: r["count"] for r in few}, ratio, min(4.0, 1 + len(often[0]) * OFTEN / max(1, counted)))
-    reps = sig.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = sig.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
 
-    posted = saved(postings(docs, k, ratio, often, x), "post")
+    posted = saved(postings(docs, k, ratio, often, x, twins), "post")
     linked = light_links(posted.filter("pos < 0").select("token", "node").distinct())
     lists = posted.filter("pos >= 0").repartition("token").sortWithinPartitions("token", "n", "node")
     pairs = saved(scan(lists, ratio, x, often), "pairs")
     cand = saved(candidates(pairs, ratio), "cand")
-    links = saved(verified(cand, reps, docs, k, ratio).union(linked), "links")
+    links = saved(verified(cand, reps, docs, k, ratio, twins).union(linked), "links")
     comp = saved(components(links), "comp")
 
     # lists that were only scanned against leaders: compare what is still apart
@@ -427,7 +456,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         if far.isEmpty():
             continue
         cand = cand.unionByName(far)
-        comp = merged(comp, saved(verified(far, reps, docs, k, ratio), "links"))
+        comp = merged(comp, saved(verified(far, reps, docs, k, ratio, twins), "links"))
     root = reps.join(comp, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     low = root.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = root.join(low, "root").select("node", "component_id")

@@ -128,3 +128,31 @@ def test_full_round_follows_an_empty_one(spark, monkeypatch):
     rows = sample(7)
     assert run(spark, rows) == brute(rows, 4, 85, 100)
     assert rounds == [True, False]
+
+
+def test_links_through_rows_without_an_id(spark):
+    w = [f"w{i}" for i in range(80)]
+    near = lambda lo: " ".join(w[:lo] + ["x", "y"] + w[lo:])
+    texts = {5: " ".join(w[:60]), None: " ".join(w[3:63]), 7: " ".join(w[6:66])}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(None, None), (None, near(3))], "doc_id long, text string")
+    ends = shingles(texts[5], 4), shingles(texts[7], 4)
+    assert 100 * len(ends[0] & ends[1]) < 85 * len(ends[0] | ends[1])
+    got = nj.jaccard_components(df).collect()
+    assert len(got) == 5 and {r.component_id for r in got if r.n_shingles == 57} == {5}
+    assert {(r.n_shingles, r.component_id) for r in got if r.doc_id is None} == {(57, 5), (0, None), (len(shingles(near(3), 4)), None)}
+
+
+def test_digests_that_sets_share(spark, monkeypatch):
+    """Sets of one digest that are not equal are told apart by the second one."""
+    rows = sample(5, 60)
+    sig = nj.signatures(spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, key long, text string"), 4, nj.Ratio(17, 20))
+    assert nj.shared_digests(sig) == set()
+    bad = sig.withColumn("node", nj.F.when(nj.F.col("n") > 0, nj.F.lit(3)).otherwise(0))
+    assert nj.shared_digests(bad) == {3}
+    g = np.arange(1, 9, dtype=np.uint64)
+    d = nj._digest(g)
+    assert nj._node(g, set()) == d and nj._node(g, {d}) == d ^ nj._check(g) != d
+    real = nj.shared_digests
+    every = [r.node for r in sig.filter("n > 0").select("node").distinct().limit(50).collect()]
+    monkeypatch.setattr(nj, "shared_digests", lambda s: real(s) | set(every))  # as if these were shared
+    assert run(spark, rows) == brute(rows, 4, 85, 100)
