@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,8 @@ from ferrograph.plans import store
 
 #: Sides of a join with at most this many narrow rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 300_000
+#: Rows of a key from which it is broadcast, and such keys at most.
+HOT, HOT_MOST = 1000, 20_000
 #: Bytes of an Arrow batch on its way to or from Python.
 ARROW_BYTES = str(4 << 20)
 
@@ -27,13 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"{tempfile.gettempdir()}/checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+shared_dir = store.shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -78,6 +73,22 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def met(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """`rows` with the columns of `groups` (one row a key, counted by `n`), null where there is none.
+
+    All of `groups` is broadcast if it is small. Else its keys with HOT rows or more are, so that their rows stay where
+    they are, and the rest is joined.
+    """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, "left")
+    own = [c for c in groups.columns if c != key]
+    hot = saved(most_frequent(groups, key, n, HOT_MOST, HOT), "hot")
+    cold = groups.join(F.broadcast(hot.select(key)), key, "left_anti")
+    both = rows.join(F.broadcast(hot.select(key, F.struct(*own).alias("_hot"))), key, "left")
+    done = both.filter("_hot is not null").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in own))
+    return done.unionByName(both.filter("_hot is null").drop("_hot").join(cold, key, "left").select(*rows.columns, *own))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over undirected `edges` (a, b), for nodes with an edge.
 
