@@ -15,38 +15,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrograph.llm.shared import saved
-
-
-def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), h1, h2: the rolling hashes of the first `place` turns."""
-    rows = _rows(conversations)
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "h", "g")
-    placed = rows.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("h"), F.xxhash64("text", F.lit("turn"), "role").alias("g"))
-    placed = placed.withColumn("place", F.row_number().over(w))
-    running = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    mixed = placed.select("conv_id", "place", F.xxhash64("place", "h", "g").alias("x"), F.xxhash64("g", "place", "h").alias("y"))
-    return mixed.select("conv_id", "place", F.bit_xor("x").over(running).alias("h1"), F.bit_xor("y").over(running).alias("h2"))
+from ferrograph.llm.shared import saved, small
 
 
 def _rows(conversations: DataFrame) -> DataFrame:
+    """key (of the conversation, never null), conv_id, turn, role, text and two hashes of role and text."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text")
-    ).distinct()
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    return rows.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("-")).alias("key"),
+        "*",
+        F.xxhash64("role", "text").alias("h"),
+        F.xxhash64("text", F.lit("turn"), "role").alias("g"),
+    )
+
+
+def turns(conversations: DataFrame) -> DataFrame:
+    """key, conv_id, place (from 1), h1, h2: the rolling hashes of the first `place` turns. Texts stay where they are:
+    turns go by their hashes, dealt by conversation once."""
+    rows = _rows(conversations).select("key", "conv_id", "turn", "role", "h", "g").repartition("key").distinct()
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("turn", "role", "h", "g")))
+    running = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    mixed = placed.select("key", "conv_id", "place", F.xxhash64("place", "h", "g").alias("x"), F.xxhash64("g", "place", "h").alias("y"))
+    return mixed.select("key", "conv_id", "place", F.bit_xor("x").over(running).alias("h1"), F.bit_xor("y").over(running).alias("h2"))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that stay, and `absorbed`: how many equal ones they stand for besides."""
-    prefix = saved(turns(conversations), "turns")
-    ends = prefix.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("e")).select("conv_id", "e.*")
+    """key, conv_id and n_turns of the conversations that stay, and `absorbed`: how many equal ones they stand for besides."""
+    prefix = turns(conversations)
+    last = F.max("place").over(Window.partitionBy("key"))
+    prefix = saved(prefix.withColumn("last", last), "turns")
+    ends = prefix.filter("place = last")
     one = ends.groupBy("place", "h1", "h2").agg(
-        F.min(F.struct(F.col("conv_id").isNull().alias("z"), "conv_id")).alias("k"), (F.count("*") - 1).alias("absorbed")
+        F.min(F.struct(F.col("conv_id").isNull().alias("z"), "conv_id", "key")).alias("k"), (F.count("*") - 1).alias("absorbed")
     )
-    last = ends.select(F.col("conv_id").alias("c"), F.col("place").alias("last"))
-    inner = prefix.join(last, F.col("conv_id").eqNullSafe(F.col("c"))).filter("place < last").select("place", "h1", "h2").distinct()
+    inner = prefix.filter("place < last").select("place", "h1", "h2").distinct()
     return one.join(inner, ["place", "h1", "h2"], "left_anti").select(
-        F.col("k.conv_id").alias("conv_id"), F.col("place").cast("long").alias("n_turns"), "absorbed"
+        F.col("k.key").alias("key"), F.col("k.conv_id").alias("conv_id"), F.col("place").cast("long").alias("n_turns"), "absorbed"
     )
 
 
@@ -57,13 +62,14 @@ def rendered(role: Column, text: Column) -> Column:
 
 def formatted(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, absorbed, rendered: the maximal conversations as training texts."""
-    keep = maximal(conversations)
-    rows = _rows(conversations)
-    item = F.struct("turn", "role", F.xxhash64("role", "text").alias("h"), F.xxhash64("text", F.lit("turn"), "role").alias("g"), "text")
+    keep = saved(maximal(conversations), "maximal")
+    kept = small(keep.select("key", "n_turns", "absorbed"), keep.count())
+    item = F.struct("turn", "role", "h", "g", "text")
     texts = (
-        rows.join(keep.withColumnRenamed("conv_id", "kept"), F.col("conv_id").eqNullSafe(F.col("kept")))
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("n_turns").alias("n_turns"), F.first("absorbed").alias("absorbed"))
+        _rows(conversations)
+        .join(kept, "key")
+        .groupBy("key")
+        .agg(F.first("conv_id").alias("conv_id"), F.array_distinct(F.sort_array(F.collect_list(item))).alias("items"), F.first("n_turns").alias("n_turns"), F.first("absorbed").alias("absorbed"))
     )
     return texts.select(
         "conv_id", "n_turns", "absorbed", F.array_join(F.transform("items", lambda t: rendered(t["role"], t["text"])), "").alias("rendered")
