@@ -5,10 +5,10 @@ smallest page_id is the response and the others are revisits that refer to it an
 text, so Spark's own text writer commits them, gzipped, to any file system; a lost executor costs a task.
 
 Reading: archives come back as binary files and are cut into records by their Content-Length. Each archive's captures
-form a run sorted by URL key, time and page. The runs are merged outside memory: a range exchange deals them
-out by (key, time, page) — time and page split a key that holds many captures — and in each
-range a loser tree merges the slices of the runs, so that the partitions, in order, are the
-globally ordered capture history.
+form a run sorted by URL key, time and page. The runs are merged in ranges: a range exchange deals them
+out by (key, time, page) — time and page split a key that holds many captures — as many ranges as it takes for
+about RANGE captures each. In each range a loser tree merges the slices of the runs, so that the partitions, in order, are the
+globally ordered capture history. The slices stay in Arrow's columns; only the heads of the runs are rows, a few at a time.
 
 A null html is an empty payload, a null URL an empty one; line breaks in a URL are percent-encoded. Rows with a null page_id
 are captures too. Rows that share the smallest page_id of a payload are all responses. Other columns are ignored.
@@ -20,14 +20,17 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrograph.llm.shared import BROADCAST_ROWS, new_path, saved
+from ferrograph.llm.shared import BROADCAST_ROWS, met, new_path, saved
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Captures of a range that is merged by a task, about, and rows of a run that are read ahead.
+RANGE, AHEAD = 200_000, 256
 CAPTURE = (
     "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, url string, archive string, place long"
@@ -41,7 +44,9 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     keyed = pages.filter("page_id is not null").select("page_id", F.octet_length(payload).alias("size"), F.unhex(F.sha2(payload, 256)).alias("digest"))
     keyed = saved(keyed.filter(F.col("size") >= least_bytes).select("page_id", "digest"), "digests")
     first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    return saved(keyed.join(first, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct(), "revisits")
+    # a payload that very many pages have is met by a broadcast
+    again = met(keyed, saved(first, "payloads"), "digest", "n").filter("page_id <> refers_to")
+    return saved(again.select("page_id", "refers_to").distinct(), "revisits")
 
 
 def _name(page_id: Column) -> Column:
@@ -162,9 +167,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class LoserTree:
-    """Merges sorted runs: every inner node keeps the loser of its match, so the next row costs one match a level."""
+    """Merges sorted runs: every inner node keeps the loser of its match, so the next row costs one match a level.
 
-    def __init__(self, runs: list[list], key):
+    runs: iterables of rows; of each only the head is held.
+    """
+
+    def __init__(self, runs: list, key):
         self.key = key
         self.its = [iter(r) for r in runs]
         self.k = max(1, len(runs))
@@ -201,18 +209,33 @@ class LoserTree:
             self._play(top[1])
 
 
+def _ahead(slices: list[pa.RecordBatch]):
+    """The rows of a run's slice, a few at a time."""
+    for batch in slices:
+        for lo in range(0, batch.num_rows, AHEAD):
+            yield from zip(*(c.to_pylist() for c in batch.slice(lo, AHEAD).columns))
+
+
 def merged(captures: DataFrame) -> DataFrame:
     """The runs in one global order by (url_key, captured, page_id)."""
-    dealt = captures.repartitionByRange(F.col("url_key"), F.col("captured"), F.col("page_id"))
+    order = [F.col(c) for c in ("url_key", "captured", "page_id")]
+    ranges = captures.count() // RANGE + 1
+    dealt = captures.repartitionByRange(ranges, *order) if ranges > 1 else captures.repartitionByRange(*order)
     dealt = dealt.sortWithinPartitions("archive", "url_key", "captured", "page_id", "place")
 
     def run(batches):
-        runs: dict[str, list] = {}
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[8], []).append(row)
+            if not batch.num_rows:
+                continue
+            # rows come archive by archive: a batch is cut where the archive changes
+            names = batch.column(8).dictionary_encode()
+            codes = names.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                runs.setdefault(names.dictionary[int(codes[lo])].as_py(), []).append(batch.slice(lo, hi - lo))
         out = []
-        for row in LoserTree(list(runs.values()), _order):
+        for row in LoserTree([_ahead(r) for r in runs.values()], _order):
             out.append(row)
             if len(out) == 10_000:
                 yield _batch(out)

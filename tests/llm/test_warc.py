@@ -51,3 +51,33 @@ def test_loser_tree(k):
 def test_members():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [b for _, b in warc.records(gzip.compress(record) + gzip.compress(record))] == [b"abc", b"abc"]
+
+
+def test_many_archives_of_one_host(spark, tmp_path, monkeypatch):
+    """Runs of one URL over many archives, in several ranges, with a hot payload and one larger than a decompressed piece."""
+    from ferrograph.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "HOT", 40)
+    monkeypatch.setattr(warc, "RANGE", 60)
+    hot, rng = "hot " * 50, random.Random(3)
+    rows = [(i, "http://one.org/", hot if i % 3 else f"page {i % 20} " * 30) for i in range(240)] + [(999, "http://big.org/", "".join(rng.choice("abcdef") for _ in range(3_000_000)))]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], ROW).repartition(3).withColumn("captured", F.timestamp_seconds(F.col("page_id") % 11))
+    path = str(tmp_path / "warc")
+    warc.write_archives(df, path, 100, records_per_file=9)
+    captures = warc.saved(warc.read_archives(spark, path), "captures")
+    assert captures.select("archive").distinct().count() > 20
+    got = warc.merged(captures).collect()
+    assert [(r.url_key, r.captured, r.page_id) for r in got] == sorted((r.url_key, r.captured, r.page_id) for r in got) and len(got) == len(rows)
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert all(r.refers_to == (first[h] if first[h] != r.page_id else None) for r in got for h in [rows[r.page_id][2] if r.page_id < 999 else rows[-1][2]])
+
+
+def test_heads_are_read_ahead(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc, "AHEAD", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7))], ["a"])
+    assert list(warc._ahead([batch, batch.slice(3, 2)])) == [(i,) for i in [*range(7), 3, 4]]
