@@ -7,12 +7,14 @@ distinct shingles are among the document's.
 A short item inside a long document has a tiny Jaccard similarity, so items are partitioned by size, in powers
 of two, and for each size class a document is cut into overlapping windows of that scale: windows of twice the
 class's largest size, half overlapping, of which one holds any stretch of that size whole. A window and an item of its class
-are compared by one-permutation MinHash, as many bins as the window has shingles at most: every bin keeps
-its least hash, and one equal bin makes a candidate. Items of the least class (up to 8 shingles) have too few bins to
-spare, since other shingles of a window may take them: one equal shingle makes them candidates. Candidates are verified on the document's whole set of shingles.
+are compared by one-permutation MinHash with twice as many bins as the window has shingles: every bin keeps
+its least hash, and one equal bin makes a candidate. Of an item's shingle in a window some other shingle takes the bin in about one case of nine;
+a contained item of nine shingles has eight there at least, and is lost if all lose theirs (2e-8). Items of the least class
+(up to 8 shingles) don't depend on bins: one equal shingle makes them candidates, so none is lost. Candidates are verified
+on the document's whole set of shingles.
 
 The items are a stated query set: their signatures and shingles are broadcast block by block, each block
-of at most `block_shingles` shingles, against all documents; documents are never shuffled or collected.
+of at most `block_shingles` shingles, against all documents; documents are never shuffled or collected, but read once a block.
 
 Null or wordless texts contain nothing and are contained in nothing. Of rows with the same item_id each counts for itself;
 a document row that is repeated gives its rows again. Other columns are ignored.
@@ -129,7 +131,7 @@ def _blocks(items: DataFrame, k: int, block_shingles: int) -> Iterator[Items]:
         yield Items(block)
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_shingles: int = 500_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
     """A row for each document and item contained in it: doc_id, item_id, n_item, n_common, containment."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -65,3 +65,21 @@ def test_items_of_few_shingles(spark):
     want = brute(docs, items)
     assert len(want) == len(items)
     assert run(spark, docs, items) == want
+
+
+def test_recall_of_all_size_classes(spark):
+    """2,000 items of one to three shingles in long texts, and longer ones of which four fifths are there: recall is one."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(5000)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    short = [(i, say(5 + i % 3)) for i in range(2000)]
+    longer = [(5000 + i, say(rng.randrange(13, 90))) for i in range(300)]
+    part = {}
+    for i, q in longer:
+        w = q.split()
+        part[i] = " ".join(w[: 4 + -(-8 * (len(w) - 4) // 10)])  # that share of the shingles, and no more
+    docs = [(d, " ".join(say(40) + " " + q for _, q in short[d::20]) + " " + " ".join(say(60) + " " + part[i] for i, _ in longer[d::20])) for d in range(20)]
+    want = brute(docs, short + longer)
+    assert len(want) >= len(short) + len(longer)
+    assert run(spark, docs, short + longer) == want
+    assert run(spark, docs, short + longer, block_shingles=4000) == want
