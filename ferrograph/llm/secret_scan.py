@@ -1,9 +1,9 @@
 """Secret scanning with corpus-wide ownership frequency, in DataFrame operations only.
 
-Pattern matches give the base spans. Long opaque tokens (mixed case and digits) are further
+Pattern matches give the base spans. Opaque tokens of 24 characters and more (mixed case and digits) are further
 candidates. Hashes of all candidate values are counted over the corpus by distinct repositories
-(documents) and distinct owners: a value that several owners have is a widely copied
-example, one that a single owner has looks live. Live opaque tokens are added to the spans.
+(documents, by doc_id) and distinct owners: a value that several owners have, or that many repositories have, is a widely
+copied example; one of a single owner and few repositories looks live. Live opaque tokens are added to the spans.
 
 Offsets are code points, end exclusive. A null text counts as empty; a null owner is an owner of its own.
 Rows are independent: a repeated doc_id gives a row each. Other columns are ignored.
@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrograph.llm.shared import saved
+from ferrograph.llm.shared import met, saved
 
 # The kinds in their order, and their patterns (Java regular expressions).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "opaque")
 BLOCK = 256
 
@@ -89,8 +89,10 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 def ownership(found: DataFrame) -> DataFrame:
     """hash, repositories, owners: in how many documents and by how many owners a value is found."""
-    values = found.select("owner", F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: s["hash"]))).alias("hash"))
-    by_owner = values.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    values = found.select("owner", "doc_id", F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: s["hash"]))).alias("hash"))
+    # a document and its owner first, so that no value's documents meet in one task
+    by_document = values.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
+    by_owner = by_document.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
@@ -99,22 +101,25 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repositories: int = 20) -> DataFrame:
     """One row per row of `docs` (doc_id, text and the owner's column).
 
-    n_live: candidates of a single owner; n_example: those that at least `example_owners` owners have.
+    n_example: candidates that at least `example_owners` owners or `example_repositories` repositories have; n_live:
+    those of a single owner that are no examples.
     """
     found = saved(candidates(docs, owner), "found")
+    cells = found.select("key", F.explode(F.concat("base", "extra")).alias("s")).select("key", "s.*")
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    live = (F.col("owners") == 1) & ~example
     rated = (
-        found.select("key", F.explode(F.concat("base", "extra")).alias("s"))
-        .select("key", "s.*")
-        .join(ownership(found), "hash")
+        met(cells, saved(ownership(found), "owned"), "hash", "repositories")
         .groupBy("key")
         .agg(
-            F.count_if(F.col("owners") == 1).alias("n_live"),
-            F.count_if(F.col("owners") >= example_owners).alias("n_example"),
+            F.count_if(live).alias("n_live"),
+            F.count_if(example).alias("n_example"),
             F.max("owners").alias("max_owners"),
-            F.collect_list(F.when((F.col("kind") == 3) & (F.col("owners") == 1), F.struct("start", "kind", "end"))).alias("live"),
+            F.max("repositories").alias("max_repositories"),
+            F.collect_list(F.when((F.col("kind") == 3) & live, F.struct("start", "kind", "end"))).alias("live"),
         )
     )
     out = found.join(rated, "key", "left")
@@ -129,4 +134,5 @@ def secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3) ->
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
         F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"),
+        F.coalesce("max_repositories", F.lit(0)).cast("long").alias("max_repositories"),
     )
