@@ -27,10 +27,12 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def run(spark, rows, length):
+def run(spark, rows, length, passage=256):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], ROW)
-    got = sd.deduplicated(df, length).collect()
+    got = sd.deduplicated(df, length, passage).collect()
     assert all(sum(s.hi - s.lo for s in r.spans) == r.n_removed for r in got)
+    shorter = brute(rows, min(passage, length))
+    assert sorted(((r.doc_id, r.n_repeated) for r in got), key=str) == sorted(((i, gone) for i, _, gone, _, _ in shorter), key=str)
     return sorted((tuple(r)[:5] for r in got), key=str)
 
 
@@ -49,10 +51,45 @@ def sample(seed):
     return rows
 
 
-@pytest.mark.parametrize("length", [400, 64])
-def test_against_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "passage"), [(400, 256), (64, 64), (130, 48), (400, 399)])
+def test_against_brute_force(spark, length, passage):
     rows = sample(length)
-    assert run(spark, rows, length) == brute(rows, length)
+    assert run(spark, rows, length, passage) == brute(rows, length)
+
+
+def test_hashes_that_collide(spark, monkeypatch):
+    """Contexts of a text that are equal by their hash only are no repeats; texts of one node hash are told apart."""
+    rng = random.Random(2)
+    rows = [(1, "".join(rng.choice("abcdefgh") for _ in range(5000))), (2, "ha " * 400)]
+    real = sd.anchors
+
+    def same(*a):
+        r, fp, place, first, last, context, left, right = real(*a)
+        n = len(r)
+        return r, np.zeros(n, np.int64) + 5, place, first, last, np.zeros(n, np.uint64), left, right
+
+    texts = [t.encode() for _, t in rows]
+    b, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert len({*real(b, off, 400, 256)[1].tolist()}) > 20
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "anchors", same)
+    held = {}
+    fake = type("F", (), {"mapInArrow": lambda self, f, schema: held.update(f=f)})()
+    sd.fingerprints(fake, 400, 256)
+    out = next(iter(held["f"](iter([pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([t for _, t in rows])], ["node", "text"])])))).to_pylist()
+    assert not [r for r in out if r["fp"] is None and r["node"] == 7]
+    assert [r for r in out if r["fp"] is None and r["node"] == 8]
+
+
+def test_too_long_a_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "PLACE", 10)
+    held = {}
+    sd.fingerprints(type("F", (), {"mapInArrow": lambda self, f, schema: held.update(f=f)})(), 400, 256)
+    with pytest.raises(ValueError, match="too long"):
+        list(held["f"](iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x" * 2000])], ["node", "text"])])))
 
 
 def test_salted_anchors(spark, monkeypatch):
