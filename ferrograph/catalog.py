@@ -782,7 +782,8 @@ def cleaned_table(spark, d):
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("day", "ts")})
 
 
-@graph_query()
+@graph_query(f"""WITH {EDGES} SELECT '{{"group":"nodes","data":{{"id":"' || id || '"}}}}' AS element FROM v
+UNION ALL SELECT '{{"group":"edges","data":{{"id":"' || src || '__' || dst || '","source":"' || src || '","target":"' || dst || '","weight":' || CAST(weight AS VARCHAR) || '}}}}' FROM e""")
 def cytoscape_export(v, e):
     return writers.cytoscape_elements(v, e)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrograph.functions.text import is_uuid
 from ferrograph.operators import profile
+from ferrograph.plans.store import saved
 
 # Parts of a column's name that hint at an identifier.
 ID_HINTS = ("_id", "id_", "_key", "_code", "_num")
@@ -81,15 +82,23 @@ def uuid_share(df: DataFrame, column: str, order: Sequence[str], k: int = 50) ->
     return profile.first_values(df, column, order, k).groupBy("column").agg(F.avg(is_uuid(F.col("value")).cast("int")).alias("share"))
 
 
-def id_columns(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, ratio: float = 0.95) -> DataFrame:
-    """column, is_id: unique values or a telling name, and then UUIDs, a sequence, or both of the first two."""
+def id_columns(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, ratio: float = 0.95, distinct: DataFrame | None = None) -> DataFrame:
+    """column, is_id: unique values or a telling name, and then UUIDs, a sequence, or both of the first two. One sample of
+    each column serves both tests.
+
+    distinct: the columns' unique_ratio, if they are known.
+    """
     columns = list(columns or df.columns)
-    seq = uid = None
+    some = None
     for c in columns:
-        s, u = sequential_share(df, c, order), uuid_share(df, c, order)
-        seq, uid = (s, u) if seq is None else (seq.unionAll(s), uid.unionAll(u))
-    out = profile.distinct_ratio(df, columns)
-    out = out.join(seq.withColumnRenamed("share", "seq"), "column", "left").join(uid.withColumnRenamed("share", "uuid"), "column", "left")
+        one = profile.first_values(df, c, order, 50)
+        some = one if some is None else some.unionAll(one)
+    number = F.col("value").try_cast("bigint")
+    step = number - F.lag(number).over(Window.partitionBy("column").orderBy(number.asc_nulls_last()))
+    shares = some.withColumn("d", step).groupBy("column").agg(
+        F.coalesce(F.try_divide(F.count_if(F.col("d") == 1), F.count("d")), F.lit(0.0)).alias("seq"), F.avg(is_uuid(F.col("value")).cast("int")).alias("uuid")
+    )
+    out = (profile.distinct_ratio(df, columns) if distinct is None else distinct).join(F.broadcast(shares), "column", "left")
     hint = F.lit(False)
     for h in ID_HINTS:
         hint = hint | F.contains(F.lower("column"), F.lit(h))
@@ -102,5 +111,6 @@ def id_columns(df: DataFrame, order: Sequence[str], columns: Sequence[str] | Non
 
 def primary_keys(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """column: identifiers that are nearly unique."""
-    ids = id_columns(df, order, columns).filter("is_id")
-    return ids.join(profile.distinct_ratio(df, columns), "column").filter("unique_ratio > 0.9").select("column")
+    distinct = saved(profile.distinct_ratio(df, columns))
+    ids = id_columns(df, order, columns, distinct=distinct).filter("is_id")
+    return ids.join(F.broadcast(distinct), "column").filter("unique_ratio > 0.9").select("column")

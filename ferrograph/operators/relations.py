@@ -137,14 +137,24 @@ def discover(df: DataFrame, entities: list[dict], types: dict[str, str], config:
     places = spark.createDataFrame([(a, b, i) for (a, b), i in order.items()], "src string, tgt string, seq int")
     kind = {e["name"]: e["type"] for e in entities}
     fused = first_direction(fuse(signals, config.relationship_prune).join(places, ["src", "tgt"]), "seq").collect()
-    out = []
-    for r in sorted(fused, key=lambda r: (-r["confidence"], r["seq"])):
-        link = links.get((r["src"], r["tgt"]))
-        card = keys.cardinality(df, *link).first()["cardinality"] if link else "1:N"
-        pair = spark.range(1).select(
-            verb(F.lit(kind[r["src"]]), F.lit(kind[r["tgt"]])).alias("v"), type_label(F.lit(kind[r["src"]]), F.lit(kind[r["tgt"]]), F.lit(card)).alias("t")
-        ).first()
-        out.append(
-            {"source": r["src"], "target": r["tgt"], "name": pair["v"], "type": pair["t"], "confidence": round(r["confidence"], 3), "evidence": list(r["evidence"]), "cardinality": card, "linking": link}
-        )
-    return out
+    fused.sort(key=lambda r: (-r["confidence"], r["seq"]))
+    if not fused:
+        return []
+    linking = [links.get((r["src"], r["tgt"])) for r in fused]
+    cards = _cardinalities(df, {x for x in linking if x})
+    rows = [(i, kind[r["src"]], kind[r["tgt"]], cards.get(x, "1:N")) for i, (r, x) in enumerate(zip(fused, linking))]
+    named = spark.createDataFrame(rows, "i int, s string, t string, card string")
+    named = {r["i"]: r for r in named.select("i", "card", verb(F.col("s"), F.col("t")).alias("v"), type_label(F.col("s"), F.col("t"), F.col("card")).alias("l")).collect()}
+    return [
+        {"source": r["src"], "target": r["tgt"], "name": named[i]["v"], "type": named[i]["l"], "confidence": round(r["confidence"], 3), "evidence": list(r["evidence"]), "cardinality": named[i]["card"], "linking": x}
+        for i, (r, x) in enumerate(zip(fused, linking))
+    ]
+
+
+def _cardinalities(df: DataFrame, pairs: set[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """The cardinality of each pair of columns, in one job."""
+    every = None
+    for a, b in sorted(pairs):
+        one = keys.cardinality(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "cardinality")
+        every = one if every is None else every.unionAll(one)
+    return {(r["a"], r["b"]): r["cardinality"] for r in every.collect()} if every is not None else {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ferrograph.config import EngineConfig
 from ferrograph.operators import clean, entities, graph, insight, network, profile, relations
+from ferrograph.plans.session import ContextLogger
 from ferrograph.plans.store import saved
 
-log = logging.getLogger("ferrograph")
+log = ContextLogger("ferrograph")
 
 
 @dataclass
@@ -46,9 +46,9 @@ def build_graph(df: DataFrame, order: str | None = None, config: EngineConfig |
     config = config or EngineConfig()
     df, order = prepare(df, order, config)
     found, types = entities.discover(df.drop(order), [df.drop(order).columns[0]], config)
-    log.info("%d entities", len(found))
+    log.bind(step="entities").info("%d entities", len(found))
     links = relations.discover(df, found, types, config)
-    log.info("%d relationships", len(links))
+    log.bind(step="relationships", entities=len(found)).info("%d relationships", len(links))
     vertices, edges = graph.build(df, found, links, order, config)
     out = Result(df, types, found, links, vertices, edges)
     out.communities = graph.louvain(vertices, edges, config.graph.resolution, config.seed)

@@ -68,3 +68,34 @@ def test_load_errors(spark):
         readers.load(spark, "/nowhere/x.csv")
     with pytest.raises(DataError):
         readers.load(spark, "/nowhere/x.sql")
+
+
+def test_bootstrap_and_logger(spark, caplog):
+    import logging
+
+    from ferrograph.errors import ConfigError
+    from ferrograph.plans import session
+
+    got, config = session.bootstrap(config=None, spark_sql_session_timeZone="UTC")
+    assert got is spark and config.version and got.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    log = session.ContextLogger(run=7).bind(step="load")
+    session.set_level("info")
+    with caplog.at_level(logging.INFO, logger="ferrograph"):
+        log.info("%d rows", 3)
+    assert "3 rows [run=7, step=load]" in caplog.text
+    with pytest.raises(ConfigError):
+        session.set_level("loud")
+
+
+def test_shared_folder_is_required_off_local_mode():
+    from types import SimpleNamespace
+
+    from ferrograph.errors import ConfigError
+    from ferrograph.plans import store
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
+    with pytest.raises(ConfigError):
+        store.shared_dir(cluster)
+    context.master = "local[2]"
+    assert store.shared_dir(cluster)
