@@ -15,7 +15,8 @@ when the intersection has at least ceil(17 (a + b) / 37) elements (for 85 %).
 
 Lists of very common elements would yield pairs by the square of their length. They are
 first scanned against leaders, which links groups of near copies; only pairs that are then
-still in different components are compared, list by list in blocks of bounded size. There
+still in different components are compared, list by list in blocks of bounded size; of a long list's blocks only
+those whose sizes may link meet. There
 each set has a parity bitmap, a bit for every bucket of elements: two sets differ in at least as many
 elements as their bitmaps differ in bits, so pairs with too many are out without a look at the texts, and no
 others are. Of each set the nearest partner is tried first, and the rest after components are joined.
@@ -495,13 +496,22 @@ def apart(led: DataFrame, comp: DataFrame, done: DataFrame, sig: DataFrame, rati
     """
     hot = led.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"))
-    mixed = mixed.filter("r0 <> r1").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    hot = saved(hot.join(mixed, "token"), "hot")
+    mixed = mixed.filter("r0 <> r1").select("token", "m")
+    # long lists are cut by size, into classes of which only a class and the next hold sets that may link, and these by hash
+    step = float(np.log(ratio.den / ratio.num)) * 1.0001
+    hot = hot.join(mixed, "token").withColumn("size", F.when(F.col("m") <= BLOCK, 0).otherwise(F.floor(F.log("n") / step)).cast("int"))
+    blocks = hot.groupBy("token", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = blocks.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("blocks"))
+    hot = saved(hot.join(blocks, "token").drop("m"), "hot")
     bits = sig.filter("parity is not null").join(hot.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.col("size") * 1_000_000 + F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("size"))).cast("int")
     hot = hot.join(bits, "node").withColumn("own", own)
     # a list of several blocks is dealt as pairs of blocks
-    hot = hot.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    near = F.expr(
+        "flatten(transform(filter(array(size - 1, size, size + 1), c -> map_contains_key(blocks, c)), "
+        "c -> transform(sequence(0, element_at(blocks, c) - 1), i -> c * 1000000 + i)))"
+    )
+    hot = hot.withColumn("other", F.explode(near))
     hot = hot.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "root", "parity")
     hot = hot.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n")
 
