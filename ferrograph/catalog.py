@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ferrograph.config import EngineConfig, Ingestion, Network, Training
 from ferrograph.functions import vector
 from ferrograph.operators import clean, entities, graph, insight, keys, names, network, profile, relations
-from ferrograph.plans.store import new_path
+from ferrograph.plans.store import forget_at_exit, new_path
 from ferrograph.sources import readers, writers
 from ferrograph.streaming import events as stream
 
@@ -806,6 +806,7 @@ def _loaded(spark: SparkSession, d: str, suffix: str, form: str, **options: str)
     """Orders, written in a format and read back by the suffix."""
     path = f"{new_path(spark)}{suffix}"
     t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").write.format(form).options(**options).save(path)
+    forget_at_exit(spark, path)
     return longs(readers.load(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", "o_custkey")
 
 

@@ -57,7 +57,8 @@ class Training:
     rate: float = 1e-3
     weight_decay: float = 1e-4
     epochs: int = 30
-    batch: int = 64
+    batch: int = 64  # edges of a batch, where neighbours are sampled
+    neighbours: tuple[int, ...] = ()  # sampled of each node of a batch, by hop (10 and 5 are usual); none: the whole graph at once
     clip: float = 1.0
     accumulate: int = 1
     warmup: int = 5

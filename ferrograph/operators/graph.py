@@ -255,7 +255,8 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
         for part in parts:
             total = np.zeros(n)
             for s in part["id"]:
-                total += _dependencies(shared.value, int(s))
+                for v, x in _dependencies(shared.value, int(s)).items():
+                    total[v] += x
             hit = np.flatnonzero(total)
             yield pd.DataFrame({"i": hit, "v": total[hit]})
 
@@ -266,34 +267,31 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     return names.join(sums, "i", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("betweenness"))
 
 
-def _dependencies(near: list, s: int) -> np.ndarray:
-    """Brandes' dependencies of one source, with Dijkstra's order."""
+def _dependencies(near: list, s: int) -> dict[int, float]:
+    """Brandes' dependencies of one source on the vertices it reaches, with Dijkstra's order. What it costs goes by these, not by the graph."""
     import heapq
 
-    n = len(near)
-    dist = np.full(n, np.inf)
-    paths, before, order = np.zeros(n), [[] for _ in range(n)], []
-    done = np.zeros(n, bool)
-    dist[s], paths[s] = 0, 1
+    dist, paths, before, order, done = {s: 0.0}, {s: 1.0}, {s: []}, [], set()
     heap = [(0.0, s)]
     while heap:
         d, v = heapq.heappop(heap)
-        if done[v]:
+        if v in done:
             continue
-        done[v] = True
+        done.add(v)
         order.append(v)
         for u, x in near[v]:
-            if d + x < dist[u] - 1e-12:
+            old = dist.get(u, np.inf)
+            if d + x < old - 1e-12:
                 dist[u], paths[u], before[u] = d + x, paths[v], [v]
                 heapq.heappush(heap, (d + x, u))
-            elif abs(d + x - dist[u]) <= 1e-12 and not done[u]:
+            elif abs(d + x - old) <= 1e-12 and u not in done:
                 paths[u] += paths[v]
                 before[u].append(v)
-    out = np.zeros(n)
+    out = dict.fromkeys(order, 0.0)
     for v in reversed(order):
         for u in before[v]:
             out[u] += paths[u] / paths[v] * (1 + out[v])
-    out[s] = 0
+    del out[s]
     return out
 
 

@@ -46,11 +46,18 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
+    forget_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a written folder deleted when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a saved table that nothing reads any more."""
     spark = df.sparkSession

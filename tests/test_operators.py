@@ -202,6 +202,23 @@ def test_training(name, tmp_path):
     assert np.allclose(again.embeddings(), t.embeddings())
 
 
+@pytest.mark.parametrize("name", ["GCN", "GraphSAGE"])
+def test_training_on_sampled_neighbours(name):
+    rng = np.random.default_rng(5)
+    n = 60
+    group = np.arange(n) % 2
+    pairs = np.array([(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and rng.random() < 0.4])
+    x = np.eye(2)[group] + rng.normal(0, 0.3, (n, 2))
+    config = EngineConfig(network=Network(architecture=name, hidden=8, out=4, layers=2, dropout=0.0), training=Training(epochs=6, rate=0.02, warmup=1, batch=32, neighbours=(4, 2)))
+    t = network.Trainer(x, pairs[:, 0], pairs[:, 1], config)
+    nodes, edges = t.subgraph(np.array([3, 3, 7]))
+    known = {tuple(sorted(p)) for p in t.train_pairs.tolist()}
+    assert {3, 7} <= set(nodes.tolist()) and len(set(nodes.tolist())) == len(nodes)
+    assert all(tuple(sorted((nodes[a], nodes[b]))) in known for a, b in zip(edges.src, edges.dst))
+    assert np.bincount(edges.dst, minlength=len(nodes)).sum() <= 2 * (2 * 4 + 8 * 2)
+    assert t.train().best("auc")[1] > 0.6 and t.steps == 6 * -(-len(t.train_pairs) // 32)
+
+
 def test_network_errors():
     with pytest.raises(ConfigError):
         network.create(3, Network(architecture="other"))
