@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrograph.llm.shared import BROADCAST_ROWS, forget, met, new_path, saved
+from ferrograph.plans.store import forget_at_exit
 
 #: What normalising deletes: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -51,6 +52,7 @@ def _run(rows: DataFrame, *order: str) -> DataFrame:
     path = new_path(spark, "runs")
     write = rows.sortWithinPartitions(*order).write.option("parquet.bloom.filter.enabled#digest", "true")
     write.option("parquet.bloom.filter.max.bytes", str(1 << 17)).parquet(path)
+    forget_at_exit(spark, path)
     out = spark.read.schema(rows.schema).parquet(path)
     out._saved_at = path
     return out

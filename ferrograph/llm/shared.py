@@ -36,20 +36,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors. It goes when the driver ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    store.forget_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a saved table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+forget = store.forget
 
 
 def most_frequent(counts: DataFrame, key: str, n: str, most: int, least: int = 1) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrograph.llm.shared import BROADCAST_ROWS, met, new_path, saved
+from ferrograph.plans.store import forget_at_exit
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -246,10 +247,11 @@ def merged(captures: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Write `pages` to archives in the shared folder and give the merged capture index of what is read back."""
+    """Write `pages` to archives in the shared folder, which go when the driver ends, and give the merged capture index of what is read back."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, least_bytes)
+    forget_at_exit(spark, path)
     return merged(saved(read_archives(spark, path), "captures"))
 
 

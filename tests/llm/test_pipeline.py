@@ -47,16 +47,13 @@ def test_stages_on_odd_tables(spark, stage):
         df = spark.createDataFrame([(i, t, "en", None, 3, 0.5, "q") for i, t in data], schema)
         out = f(spark, df, DATA)
         got = out.collect()
-        if stage < 4:
-            assert out.schema == df.schema
-            assert {r.doc_id for r in got} <= {i for i, _ in data}
-            if data:
-                assert (3, 7) <= (max(r.doc_id or 0 for r in got), 7)
-        else:
+        if stage == 4:
             assert len(got) == len(data)
-    if stage == 1:
-        kept = [(r.doc_id, r.text) for r in f(spark, spark.createDataFrame([(i, t, "en", None, 3, 0.5, "q") for i, t in rows], schema), DATA).collect()]
-        assert sorted(kept, key=str) == sorted([(1, None), (3, rows[2][1]), (None, "and the other one"), (5, "one  of them is that ")], key=str)
+            continue
+        assert out.schema == df.schema
+        # by stage: rows without letters go; longest of equal texts; smallest id of equal shingles; nothing is in the benchmark
+        stays = [(2, 3, 4, 5, 6), (0, 2, 5, 6), (0, 1, 2, 3, 4, 5), range(7)][stage]
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((data[i] for i in stays if data), key=str)
 
 
 def test_names():
