@@ -114,11 +114,20 @@ WIDE = (
 )
 
 
-def wide(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e, c, i) for i, (e, c) in enumerate(WIDE)], "entity string, column string, place int")
+#: Tables whose columns are named as well, by their own names.
+NAMED = ("customer", "orders", "lineitem", "part", "supplier", "nation", "region", "documents", "pages", "conversations")
 
 
-WIDE_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}', {i})" for i, (e, c) in enumerate(WIDE)) + ') AS v(entity, "column", place))'
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """(entity, column, place): the columns of the wide table, and of the tables at hand (the table's name is part of each)."""
+    named = [*WIDE, *((x.capitalize(), f"{x}_{c}") for x in NAMED for c in t(spark, d, x).columns)]
+    return spark.createDataFrame([(e, c, i) for i, (e, c) in enumerate(named)], "entity string, column string, place int")
+
+
+WIDE_SQL = (
+    "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}', {i})" for i, (e, c) in enumerate(WIDE)) + ') AS v(entity, "column", place)'
+    + "".join(f"\n  UNION ALL SELECT '{x.capitalize()}', '{x}_' || column_name, {100 * (i + 1)} + row_number() OVER () FROM (DESCRIBE {x})" for i, x in enumerate(NAMED)) + ")"
+)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -410,17 +419,17 @@ u AS (SELECT "column", term, w / sqrt(sum(w * w) OVER (PARTITION BY "column")) A
 
 @query(f"WITH {WIDE_SQL}" + """ SELECT "column", (i - 1)::INTEGER AS place, string_split("column", '_')[i] AS token FROM (SELECT "column", unnest(range(1, len(string_split("column", '_')) + 1)) AS i FROM w)""")
 def name_tokens(spark, d):
-    return names.tokens(wide(spark))
+    return names.tokens(wide(spark, d))
 
 
 @query(_TERMS + 'SELECT "column", term, round(weight, 6) AS weight FROM u')
 def name_tfidf(spark, d):
-    return rounded(names.tfidf(wide(spark)), "weight")
+    return rounded(names.tfidf(wide(spark, d)), "weight")
 
 
 @query(_TERMS + 'SELECT a."column" AS col_a, b."column" AS col_b, round(sum(a.weight * b.weight), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a."column" < b."column" GROUP BY ALL')
 def name_cosine(spark, d):
-    return rounded(names.cosines(names.tfidf(wide(spark))), "cosine")
+    return rounded(names.cosines(names.tfidf(wide(spark, d))), "cosine")
 
 
 _SIGNALS = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{w}')" for i, (k, ws) in enumerate(names.TYPE_SIGNALS) for w in ws) + ") AS v(p, entity_type, token))"
@@ -431,7 +440,7 @@ s AS (SELECT entity, p, entity_type, count(*) AS score FROM k JOIN g USING (toke
 b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, p) AS n FROM s)
 SELECT e.entity, coalesce(b.entity_type, 'business_object') AS entity_type, coalesce(b.score, 0) AS score FROM (SELECT DISTINCT entity FROM w) e LEFT JOIN b ON b.entity = e.entity AND b.n = 1""")
 def entity_type_score(spark, d):
-    return names.entity_types(wide(spark))
+    return names.entity_types(wide(spark, d))
 
 
 # --- relationships ----------------------------------------------------------------------------------------------------
@@ -456,7 +465,7 @@ h AS (SELECT f.entity AS src, o.entity AS tgt, f."column", f.place FROM f JOIN (
   AND starts_with(f.l[f.i], substr(lower(o.entity), 1, 4)) WHERE f.l[f.i + 1] IN ('id', 'key', 'no', 'num'))
 SELECT src, tgt, arg_min("column", place) AS "column" FROM h GROUP BY src, tgt""")
 def prefix_refs(spark, d):
-    return relations.prefix_refs(wide(spark))
+    return relations.prefix_refs(wide(spark, d))
 
 
 _SIG = [("A", "B", 0, 0.5, "fk"), ("A", "B", 1, 0.4, "prefix"), ("A", "B", 3, 0.2, "time"), ("B", "A", 3, 0.2, "time"), ("A", "C", 2, 0.12, "corr"), ("C", "B", 2, 0.25, "corr"), ("C", "B", 3, 0.2, "time")]
