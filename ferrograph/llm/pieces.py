@@ -28,8 +28,8 @@ from ferrograph.llm import textkit as tk
 MARK = "▁"
 #: Symbols up to which a chunk merges in step with others; one chunk in CHECKED is held against the library.
 LONG, CHECKED, CHECK_CHARS = 64, 16, 4096
-#: Characters of the texts that are worked on together.
-SLAB = 1 << 19
+#: Characters of the texts that are worked on together: arrays take some 80 bytes for each.
+SLAB = 1 << 17
 U = np.uint64
 _NEVER = np.int64(2**63 - 1)
 _SPREAD = U(0x9E3779B97F4A7C15)
@@ -412,6 +412,7 @@ def round_trip(docs: DataFrame, model: bytes, texts: bool = False) -> DataFrame:
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
                 at += len(group)
+        tk.lean()  # what the arrays took goes back before another stage has this worker
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
