@@ -349,3 +349,15 @@ def test_links_of_all_vectors(spark):
     assert near(catalog.queries()["link_candidates"](spark, DATA).collect())
     v = catalog.vectors(spark, DATA).select("id", "embedding")
     assert near(insight.link_candidates(v, catalog.ring(spark, DATA), block=70).collect())
+
+
+def test_statistics_of_a_graph_beyond_memory(spark, small, monkeypatch):
+    """Only a largest component of under 500 vertices comes to the driver, so the bound holds for that one."""
+    monkeypatch.setattr(graph, "IN_MEMORY", 8)
+    v, e = small
+    assert graph.statistics(v, e)["diameter"] == 4
+    more = e.unionByName(spark.range(600).selectExpr("concat('s', id) src", "'hub' dst", "1.0D weight"))
+    every = v.union(more.select("src")).union(more.select("dst")).distinct()
+    row = graph.statistics(every, more)
+    assert (row["diameter"], row["n_components"], row["n_edges"]) == (-1, 4, len(E) + 600)
+    assert graph.diameter(v, e.union(spark.createDataFrame([("x", "else", 1.0), ("else", "e", 1.0)], e.schema))) == 4  # no way over a stranger
