@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrograph.config import EngineConfig, Network, Training
-from ferrograph.errors import ConfigError, TrainingError
+from ferrograph.errors import ConfigError, GraphError, TrainingError
 from ferrograph.functions.autograd import Tensor
 from ferrograph.operators import clean, entities, graph, insight, keys, network, profile
 from ferrograph.streaming import events as stream
@@ -361,3 +361,18 @@ def test_statistics_of_a_graph_beyond_memory(spark, small, monkeypatch):
     row = graph.statistics(every, more)
     assert (row["diameter"], row["n_components"], row["n_edges"]) == (-1, 4, len(E) + 600)
     assert graph.diameter(v, e.union(spark.createDataFrame([("x", "else", 1.0), ("else", "e", 1.0)], e.schema))) == 4  # no way over a stranger
+
+
+def test_betweenness_holds_only_what_paths_lead_through(spark, small, monkeypatch):
+    """Sources without edges into them bring their own edges, so they don't count against the bound."""
+    monkeypatch.setattr(graph, "IN_MEMORY", 8)
+    v, e = small
+    rows = [(f"s{i}", x, 1.0) for i in range(12) for x in ("a", "d", "end")[: 1 + i % 3]] + [("d", "end", 1.0)]
+    e = e.union(spark.createDataFrame(rows, e.schema))
+    v = v.union(e.select("src")).union(e.select("dst")).distinct()
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(v, e, weighted=False).collect()}
+    assert got == pytest.approx(shortest([r["id"] for r in v.collect()], [(r.src, r.dst) for r in e.collect()]))
+    assert len(graph.betweenness(v, e, pivots=3).collect()) == len(got)
+    with pytest.raises(GraphError):  # all of a ring leads through
+        ring = spark.range(9).selectExpr("id src", "(id + 1) % 9 dst", "1.0D weight")
+        graph.betweenness(spark.range(9), ring).collect()
