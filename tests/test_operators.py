@@ -376,3 +376,20 @@ def test_betweenness_holds_only_what_paths_lead_through(spark, small, monkeypatc
     with pytest.raises(GraphError):  # all of a ring leads through
         ring = spark.range(9).selectExpr("id src", "(id + 1) % 9 dst", "1.0D weight")
         graph.betweenness(spark.range(9), ring).collect()
+
+
+def test_louvain_beyond_memory(spark, monkeypatch):
+    """Rounds over tables and then moves in turn find communities as good as moves in turn alone, and leave out no vertex."""
+    rng = np.random.default_rng(3)
+    rows = {(int(a), int(b)) for a, b in rng.integers(0, 12, (400, 2)) * 8 + rng.integers(0, 8, (400, 2)) if a // 8 == b // 8}
+    rows |= {(8 * g + i, 8 * g + (i + 1) % 8) for g in range(12) for i in range(8)} | {(8 * g, (8 * g + 8) % 96) for g in range(12)} | {(3, 3)}
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(rows)], "src long, dst long, weight double")
+    v = spark.range(97)  # the last is alone
+    ids, src, dst, w = graph.adjacency(v, e)
+    want = graph.louvain(v, e)
+    monkeypatch.setattr(graph, "IN_MEMORY", 100)
+    monkeypatch.setattr(graph, "IN_DICTS", 100)
+    got = graph.louvain(v, e)
+    assert set(got) == set(range(97)) and set(got.values()) == set(range(len(set(got.values()))))
+    value = lambda found: graph.modularity(97, src, dst, w, np.array([found[i] for i in ids]))
+    assert value(got) > value(want) - 0.02 and got[96] not in [got[i] for i in range(96)]
