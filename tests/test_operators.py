@@ -423,3 +423,34 @@ def test_links_of_many_vectors_in_time(spark):
     many = spark.createDataFrame([(i, y) for i, y in enumerate(rng.normal(size=(12_000, 64)).tolist())], "id long, embedding array<double>")
     began = time.perf_counter()
     assert len(insight.link_candidates(many, e).collect()) == 20 and time.perf_counter() - began < 60
+
+
+def test_training_holds_no_array_of_edges():
+    """On 150,000 edges training takes little more than its edges and layers; gradients are those of the plain operations."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    z, pairs, neg = Tensor(rng.normal(size=(9, 4))), rng.integers(0, 9, (20, 2)), rng.integers(0, 9, (15, 2))
+    z.link_loss(pairs, neg, chunk=6).backward()
+    plain = Tensor(z.data)
+    both, label = np.r_[pairs, neg], np.r_[np.ones(20), np.zeros(15)]
+    p = network.sigmoid((plain[both[:, 0]] * plain[both[:, 1]]).sum(axis=1))
+    (((p + 1e-9).log() * label + (p * -1.0 + (1 + 1e-9)).log() * (1 - label)).mean() * -1.0).backward()
+    assert np.allclose(z.grad, plain.grad)
+    e, weight = network.Edges(9, pairs[:, 0], pairs[:, 1]), rng.normal(size=(9, 4))
+    z.grad = np.zeros((9, 4))
+    (z.linear(e.spread).normed() * weight).sum().backward()
+    k = np.bincount(e.ldst, minlength=9)
+    h = (plain[e.lsrc] * (1 / np.sqrt(k[e.lsrc] * k[e.ldst]))[:, None]).scatter(e.ldst, 9)
+    c = h - h.mean(axis=0, keepdims=True)
+    plain.grad = np.zeros((9, 4))
+    (c * ((c * c).mean(axis=0, keepdims=True) + 1e-5) ** -0.5 * weight).sum().backward()
+    assert np.allclose(e.spread(z.data, chunk=4), h.data) and np.allclose(z.grad, plain.grad)
+    x = rng.normal(size=(20_000, 4))
+    src, dst = rng.integers(0, 20_000, (2, 150_000))
+    tracemalloc.start()
+    t = network.Trainer(x, src, dst, EngineConfig(network=Network(hidden=16, out=8), training=Training(epochs=1)))
+    t.train()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 130e6
