@@ -9,8 +9,8 @@ the words beyond the table, which have this share only, and one the unknown word
 
 * Counts cover all training tokens: tasks pre-aggregate, one shuffle sums. The most frequent words, `table` of them at
   most, are broadcast; the rest is met by a join of the rare tokens with the whole vocabulary.
-* Topic groups are a mixture of multinomials over the `frequent` most frequent words of a sample. It starts from at most
-  `sample_docs` documents of that sample, of any length, and a round over all training documents then sets each group's words.
+* Topic groups are a mixture of multinomials over the `frequent` most frequent words of all training documents. It starts from
+  groups of words that meet in the same documents, all of them, and a round over all then sets each group's words.
   A document's group follows from these words, and a word belongs to the group where most of its occurrences are.
 * `fine` has a cell for every four training tokens, in powers of two and 2 ** FINE at most: every task sends its cells.
 * The softmax and the branches are trained on all training tokens, once, in rounds over disjoint parts of the documents: tasks
@@ -56,7 +56,6 @@ class Settings:
     bands: tuple[int, ...] = (200, 5000)  # ranks at which a band of frequency ends
     table: int = 1 << 19
     frequent: int = 512
-    sample_docs: int = 1500
     rounds: int = 3
     rate: float = 0.8
     slab: int = 1 << 18
@@ -115,19 +114,16 @@ class Groups:
 
 
 def fit_groups(train: DataFrame, s: Settings) -> Groups:
-    """Groups started on a sample of documents and set by a round over all."""
-    some = train.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
-    # about three times the wanted documents by a threshold on the hash, so that tasks send few
-    share = min(1.0, (3 * s.sample_docs + 100) / max(1, some.count()))
-    some = some.filter((F.col("h") % 1_000_000).cast("double") / 1_000_000 < 2 * share - 1).select("text", "h")
+    """Groups of the most frequent words of all training documents, started on how these words meet in documents and set by a round over all."""
     none = Groups(np.empty(0, U), np.zeros((0, s.groups)))
-    top = count_words(some.select("text"), none, s).orderBy(F.desc("n"), "word").limit(s.frequent).collect()
-    words = np.sort(np.array([r["word"] for r in top], np.int64).view(U))
-    rows = some.orderBy("h").limit(s.sample_docs).select("text").mapInArrow(_frequent(words), "counts binary").collect()
-    if not rows:
-        return Groups(np.empty(0, U), np.zeros((0, s.groups)))
-    x = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows]).astype(float)
-    # hard assignment, the best of several random starts
+    top = count_words(train, none, s).orderBy(F.desc("n"), "word").limit(s.frequent).select("word").toArrow()["word"].to_numpy()
+    if not len(top):
+        return none
+    words = np.sort(top.view(U))
+    parts = train.select("text").mapInArrow(_meetings(words), "block int, part binary").groupBy("block").applyInArrow(_added, "block int, part binary").collect()
+    x = np.concatenate([np.frombuffer(r["part"], np.float32).reshape(-1, len(words)) for r in sorted(parts, key=lambda r: r["block"])]).astype(float)
+    # each word's company, as if it were a document of a hundred words; hard assignment, the best of several random starts
+    x *= 100 / np.maximum(x.sum(axis=1, keepdims=True), 1e-9)
     rng = np.random.default_rng(5)
     total = x.sum(axis=0) + 0.1
     prior = total / total.sum() * 20
@@ -158,16 +154,33 @@ def _spread(find: Table, b: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.bincount(row[there] * n + at[there], minlength=n * (len(off) - 1)).reshape(-1, n)).astype(np.float32)
 
 
-def _frequent(words: np.ndarray):
+#: Rows of a matrix that are added up together.
+TOGETHER = 8
+
+
+def _meetings(words: np.ndarray):
+    """A task's sums over documents of the products of every two words' counts, in blocks of rows."""
+
     def run(batches):
-        find = Table(words)
+        tk.lean()
+        find, sums = Table(words), np.zeros((len(words), len(words)))
         for batch in batches:
-            for _, _, b, off in tk.slabs(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in _spread(find, b, off, len(words))], pa.binary())], ["counts"])
+            for _, _, b, off in tk.slabs(batch.column(0), 1 << 18):
+                x = _spread(find, b, off, len(words))
+                sums += x.T @ x
+        rows = [sums[lo : lo + TOGETHER].astype(np.float32).tobytes() for lo in range(0, len(words), TOGETHER)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["block", "part"])
 
     return run
 
 
+def _added(table: pa.Table) -> pa.Table:
+    total = 0.0
+    for part in table["part"]:
+        total = total + np.frombuffer(part.as_py(), np.float32).astype(float)
+    return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
 def _group_sums(words: np.ndarray, weight: np.ndarray):
     """A task's sums of counts by group and word: as many rows as cells at most."""
 

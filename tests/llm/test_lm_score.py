@@ -104,3 +104,21 @@ def test_words_of_a_class_follow_histories(spark):
 
     assert inside("left", "red") > inside("right", "red") + 0.5
     assert inside("right", "blue") > inside("left", "blue") + 0.5
+
+
+def test_groups_come_from_all_documents(spark):
+    """The words of the groups are the most frequent of all 12,000 documents, and words that meet share a group."""
+    text = "concat_ws(' ', concat('a', id * id % 1009), concat('a', id % 1013), if(id % 2 = 0, 'red left', 'blue right'))"
+    docs = spark.range(12_000).selectExpr("id doc_id", f"{text} text")
+    s = lm_score.Settings(groups=2)
+    found = lm_score.fit_groups(docs, s)
+    count = collections.Counter(w for r in docs.collect() for w in r.text.split())
+    hashes = {w: int(lm_score.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in count}
+    hashes[None], count[None] = int(lm_score.END), docs.count()
+    least = sorted(count.values(), reverse=True)[s.frequent - 1]
+    sure = {hashes[w] for w, n in count.items() if n > least}
+    maybe = {hashes[w] for w, n in count.items() if n == least}
+    assert len(found.words) == s.frequent and sure <= set(found.words.tolist()) <= sure | maybe
+    group = {w: found.weight[found.words == hashes[w]][0].argmax() for w in ("red", "left", "blue", "right")}
+    assert group["red"] == group["left"] != group["blue"] == group["right"]
+    assert len(lm_score.fit_groups(docs.limit(0), s).words) == 0
