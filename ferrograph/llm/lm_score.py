@@ -9,8 +9,9 @@ the words beyond the table, which have this share only, and one the unknown word
 
 * Counts cover all training tokens: tasks pre-aggregate, one shuffle sums. The most frequent words, `table` of them at
   most, are broadcast; the rest is met by a join of the rare tokens with the whole vocabulary.
-* Topic groups are a mixture of multinomials over the `frequent` most frequent words of all training documents. It starts from
-  groups of words that meet in the same documents, all of them, and a round over all then sets each group's words.
+* Topic groups are a mixture of multinomials over the `frequent` most frequent words of all training documents. `starts` mixtures
+  begin with groups of words that meet in the same documents, all of them; each is fitted in `passes` passes over all, with a
+  document in the group that fits it best, and the one that fits all documents best is taken.
   A document's group follows from these words, and a word belongs to the group where most of its occurrences are.
 * `fine` has a cell for every four training tokens, in powers of two and 2 ** FINE at most: every task sends its cells.
 * The softmax and the branches are trained on all training tokens, once, in rounds over disjoint parts of the documents: tasks
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrograph.llm import textkit as tk
-from ferrograph.llm.shared import most_frequent, saved
+from ferrograph.llm.shared import forget, most_frequent, saved
 
 U = np.uint64
 END = U(0x1F3D5B79A2C4E681)
@@ -56,6 +57,8 @@ class Settings:
     bands: tuple[int, ...] = (200, 5000)  # ranks at which a band of frequency ends
     table: int = 1 << 19
     frequent: int = 512
+    starts: int = 12
+    passes: int = 4
     rounds: int = 3
     rate: float = 0.8
     slab: int = 1 << 18
@@ -114,103 +117,144 @@ class Groups:
 
 
 def fit_groups(train: DataFrame, s: Settings) -> Groups:
-    """Groups of the most frequent words of all training documents, started on how these words meet in documents and set by a round over all."""
+    """Groups of the most frequent words of all training documents: of several mixtures, each fitted to all of these, the best."""
     none = Groups(np.empty(0, U), np.zeros((0, s.groups)))
-    top = count_words(train, none, s).orderBy(F.desc("n"), "word").limit(s.frequent).select("word").toArrow()["word"].to_numpy()
+    top = count_words(train, None, s).orderBy(F.desc("n"), "word").limit(s.frequent).select("word").toArrow()["word"].to_numpy()
     if not len(top):
         return none
     words = np.sort(top.view(U))
-    parts = train.select("text").mapInArrow(_meetings(words), "block int, part binary").groupBy("block").applyInArrow(_added, "block int, part binary").collect()
-    x = np.concatenate([np.frombuffer(r["part"], np.float32).reshape(-1, len(words)) for r in sorted(parts, key=lambda r: r["block"])]).astype(float)
-    # each word's company, as if it were a document of a hundred words; hard assignment, the best of several random starts
-    x *= 100 / np.maximum(x.sum(axis=1, keepdims=True), 1e-9)
-    rng = np.random.default_rng(5)
-    total = x.sum(axis=0) + 0.1
+    rows = saved(train.select("text").mapInArrow(_rows(words), "ends binary, word binary, n binary"), "groups")
+    met = _summed(rows, _meetings(len(words))).reshape(-1, len(words))
+    weight = _starts(met[:-1], met[-1], s)
+    for _ in range(s.passes):
+        sums = _summed(rows, _group_sums(weight)).reshape(s.starts, s.groups, -1)
+        n, fits = sums[:, :, :-1], sums[:, :, -1].sum(axis=1)
+        n = n + 20 * n.sum(axis=1, keepdims=True) / max(n[0].sum(), 1e-9) + 1e-6
+        weight = np.log(n / n.sum(axis=2, keepdims=True))
+    forget(rows)
+    return Groups(words, weight[fits.argmax()].T)
+
+
+def _starts(x: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    """Log probabilities by start, group and word, from groups of words that keep the same company. x: sums of products of every two words' counts; n: of counts."""
+    # each word's company, as if it were a document of a hundred words; a word weighs by its count
+    x = x * 100 / np.maximum(x.sum(axis=1, keepdims=True), 1e-9)
+    share = n / n.sum()
+    total = (share * len(n)) @ x + 0.1
     prior = total / total.sum() * 20
-    best, weight = -np.inf, None
-    for _ in range(12):
-        n = x[rng.choice(len(x), s.groups, replace=len(x) < s.groups)] + prior
+    rng = np.random.default_rng(5)
+    out = []
+    for _ in range(s.starts):
+        n = x[rng.choice(len(x), s.groups, replace=len(x) < s.groups, p=share)] + prior
         for _ in range(20):
             logp = np.log(n / n.sum(axis=1, keepdims=True))
-            fits = x @ logp.T
-            group = fits.argmax(axis=1)
-            n = np.array([x[group == g].sum(axis=0) for g in range(s.groups)]) + prior
-        if fits.max(axis=1).sum() > best:
-            best, weight = fits.max(axis=1).sum(), logp.T
-    found = train.select("text").mapInArrow(_group_sums(words, weight), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(len(words) * s.groups)
-    for r in found:
-        n[r["cell"]] = r["n"]
-    n = n.reshape(s.groups, len(words))
-    n += 20 * n.sum(axis=0) / max(n.sum(), 1e-9) + 1e-6
-    return Groups(words, np.log(n / n.sum(axis=1, keepdims=True)).T)
-
-
-def _spread(find: Table, b: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
-    """For each row the square roots of its counts of `n` words: a text that repeats a word must not make a group of its own."""
-    t, first = tokens(b, off)
-    at, row = find(t), np.repeat(np.arange(len(off) - 1), np.diff(first))
-    there = at >= 0
-    return np.sqrt(np.bincount(row[there] * n + at[there], minlength=n * (len(off) - 1)).reshape(-1, n)).astype(np.float32)
+            group = (x @ logp.T).argmax(axis=1)
+            n = np.array([(share * len(x) * (group == g)) @ x for g in range(s.groups)]) + prior
+        out.append(logp)
+    return np.array(out)
 
 
-#: Rows of a matrix that are added up together.
-TOGETHER = 8
-
-
-def _meetings(words: np.ndarray):
-    """A task's sums over documents of the products of every two words' counts, in blocks of rows."""
+def _rows(words: np.ndarray):
+    """Documents by slab: where each one's words end, the words' places, and the square roots of their counts: a text that repeats a word must not make a group of its own."""
 
     def run(batches):
         tk.lean()
-        find, sums = Table(words), np.zeros((len(words), len(words)))
+        find, n = Table(words), len(words)
         for batch in batches:
             for _, _, b, off in tk.slabs(batch.column(0), 1 << 18):
-                x = _spread(find, b, off, len(words))
-                sums += x.T @ x
-        rows = [sums[lo : lo + TOGETHER].astype(np.float32).tobytes() for lo in range(0, len(words), TOGETHER)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["block", "part"])
+                t, first = tokens(b, off)
+                at, row = find(t), np.repeat(np.arange(len(off) - 1), np.diff(first))
+                there = at >= 0
+                count = np.bincount(row[there] * n + at[there], minlength=n * (len(off) - 1))
+                cell = np.flatnonzero(count)
+                ends = np.searchsorted(cell, np.arange(1, len(off)) * n)
+                parts = ends.astype(np.int32), (cell % n).astype(np.min_scalar_type(n)), np.sqrt(count[cell]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["ends", "word", "n"])
 
     return run
 
 
+def _matrices(batches, n: int):
+    """Documents by words, as `_rows` has them."""
+    for batch in batches:
+        for ends, word, count in zip(*(batch.column(j).to_pylist() for j in range(3))):
+            ends = np.frombuffer(ends, np.int32)
+            x = np.zeros((len(ends), n), np.float32)
+            x[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), np.frombuffer(word, np.min_scalar_type(n))] = np.frombuffer(count, np.float32)
+            yield x
+
+
+#: Rows of a matrix that are added up together.
+TOGETHER = 8
+
+
+def _summed(rows: DataFrame, run) -> np.ndarray:
+    """The sum of the tasks' matrices, flat."""
+
+    def parts(batches):
+        tk.lean()
+        sums = run(batches)
+        blocks = [sums[lo : lo + TOGETHER].tobytes() for lo in range(0, len(sums), TOGETHER)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "part"])
+
+    schema = "block int, part binary"
+    found = rows.mapInArrow(parts, schema).groupBy("block").applyInArrow(_added, schema).collect()
+    return np.concatenate([np.frombuffer(r["part"]) for r in sorted(found, key=lambda r: r["block"])])
+
+
 def _added(table: pa.Table) -> pa.Table:
     total = 0.0
     for part in table["part"]:
-        total = total + np.frombuffer(part.as_py(), np.float32).astype(float)
-    return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        total = total + np.frombuffer(part.as_py())
+    return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def _group_sums(words: np.ndarray, weight: np.ndarray):
-    """A task's sums of counts by group and word: as many rows as cells at most."""
+def _meetings(n: int):
+    """A task's sums over documents of the products of every two words' counts, and in a last row of the counts."""
 
     def run(batches):
-        tk.lean()
-        find, sums = Table(words), np.zeros((weight.shape[1], len(words)))
-        for batch in batches:
-            for _, _, b, off in tk.slabs(batch.column(0), 1 << 18):
-                x = _spread(find, b, off, len(words))
-                group = (x @ weight.astype(np.float32)).argmax(axis=1)
-                for g in np.unique(group).tolist():
-                    sums[g] += x[group == g].sum(axis=0)
-        flat = sums.ravel()
-        cells = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(flat[cells])], ["cell", "n"])
+        sums = np.zeros((n + 1, n))
+        for x in _matrices(batches, n):
+            sums[:-1] += x.T @ x
+            sums[-1] += x.sum(axis=0)
+        return sums
 
     return run
 
 
-def count_words(train: DataFrame, groups: Groups, s: Settings) -> DataFrame:
-    """word (hash), n, group: over all training tokens."""
+def _group_sums(weight: np.ndarray):
+    """A task's sums, by start and group, of the words' counts and of the log probability, each document in the group that fits it best."""
+    starts, groups, n = weight.shape
+    flat = weight.reshape(-1, n).T.astype(np.float32)
+
+    def run(batches):
+        sums = np.zeros((starts * groups, n + 1))
+        for x in _matrices(batches, n):
+            fits = (x @ flat).reshape(-1, starts, groups)
+            own = (fits.argmax(axis=2)[:, :, None] == np.arange(groups)).astype(np.float32)
+            sums[:, :-1] += own.reshape(len(x), -1).T @ x
+            sums[:, -1] += (own * fits).sum(axis=0, dtype=float).ravel()
+        return sums
+
+    return run
+
+
+def count_words(train: DataFrame, groups: Groups | None, s: Settings) -> DataFrame:
+    """word (hash), n, group if there are groups: over all training tokens."""
     shared = train.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches):
         tk.lean()
         g = shared.value
-        find = Table(g.words)
+        find = Table(g.words) if g else None
         held, size = [], 0
 
         def flush():
+            if not g:
+                key, c = np.unique(np.concatenate(held), return_counts=True)
+                for lo in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 100_000].view(np.int64)), pa.array(c[lo : lo + 100_000])], ["word", "n"])
+                return
             key, n = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
             both, c = np.unique(n * s.groups + np.concatenate([k for _, k in held]), return_counts=True)
             for lo in range(0, len(both), 100_000):
@@ -223,8 +267,11 @@ def count_words(train: DataFrame, groups: Groups, s: Settings) -> DataFrame:
         for batch in batches:
             for _, _, b, off in tk.slabs(batch.column(0)):
                 t, first = tokens(b, off)
-                row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-                held.append((t, g.of(find(t), row, len(off) - 1)[row].astype(np.int8)))
+                if g:
+                    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                    held.append((t, g.of(find(t), row, len(off) - 1)[row].astype(np.int8)))
+                else:
+                    held.append(t)
                 size += len(t)
                 if size > 3_000_000:
                     yield from flush()
@@ -232,6 +279,8 @@ def count_words(train: DataFrame, groups: Groups, s: Settings) -> DataFrame:
         if held:
             yield from flush()
 
+    if not groups:
+        return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = train.select("text").mapInArrow(run, "word long, grp int, n long")
     per = [F.sum(F.when(F.col("grp") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(s.groups)]
     wide = rows.groupBy("word").agg(F.sum("n").alias("n"), *per)

@@ -122,3 +122,29 @@ def test_groups_come_from_all_documents(spark):
     group = {w: found.weight[found.words == hashes[w]][0].argmax() for w in ("red", "left", "blue", "right")}
     assert group["red"] == group["left"] != group["blue"] == group["right"]
     assert len(lm_score.fit_groups(docs.limit(0), s).words) == 0
+
+
+def test_groups_fit_every_document(spark):
+    """The groups are those of plain passes over all rows, and fit the rows better than where they started."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "the " * 50_000), (-4, " "), (-4, " ")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).repartition(3, "doc_id")
+    s = lm_score.Settings(groups=3, frequent=300)
+    found = lm_score.fit_groups(docs, s)
+    place = {h: i for i, h in enumerate(found.words.tolist())}
+    rows = docs.collect()
+    x = np.zeros((len(rows), len(place)))
+    for i, r in enumerate(rows):
+        t, _ = lm_score.tokens(b := np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len(b)]))
+        for h, n in collections.Counter(t.tolist()).items():
+            if h in place:
+                x[i, place[h]] = math.sqrt(n)
+    start = weight = lm_score._starts(x.T @ x, x.sum(axis=0), s)
+    for _ in range(s.passes):
+        fits = np.array([x @ w.T for w in weight])
+        n = np.array([[x[f.argmax(axis=1) == g].sum(axis=0) for g in range(s.groups)] for f in fits])
+        n += 20 * x.sum(axis=0) / x.sum() + 1e-6
+        weight = np.log(n / n.sum(axis=2, keepdims=True))
+    best = fits.max(axis=2).sum(axis=1).argmax()
+    assert np.allclose(found.weight, weight[best].T, atol=1e-3)
+    assert (x @ found.weight).max(axis=1).sum() > max((x @ w.T).max(axis=1).sum() for w in start)
