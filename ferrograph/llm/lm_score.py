@@ -84,20 +84,27 @@ def tokens(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Places of 64-bit keys: a sorted array behind a table of bits."""
+    """Places of 64-bit keys: each key stands in the slot that its leading bits name, or in the next free one."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-        # the start of each run of keys with the same leading 16 bits
-        self.start = np.searchsorted(self.keys, np.arange(1 << 16, dtype=U) << U(48))
+        order = np.argsort(keys)
+        self.shift = U(64 - len(keys).bit_length() - 1)
+        step = np.arange(len(keys))
+        slot = np.maximum.accumulate((keys[order] >> self.shift).astype(np.int64) - step) + step
+        size = max(2 << len(keys).bit_length(), int(slot[-1]) + 1 if len(keys) else 0) + 1  # the last one is free
+        self.keys, self.place = np.zeros(size, U), np.full(size, -1, np.int32)
+        self.keys[slot], self.place[slot] = keys[order], order
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Place of each key as given, or -1."""
-        if not len(self.keys):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.order[at], -1)
+        slot = (h >> self.shift).astype(np.int64)
+        out = self.place[slot].astype(np.int64)
+        left = np.flatnonzero((self.keys[slot] != h) & (out >= 0))
+        while len(left):
+            slot[left] += 1
+            out[left] = self.place[slot[left]]
+            left = left[(self.keys[slot[left]] != h[left]) & (out[left] >= 0)]
+        return out
 
 
 @dataclass
@@ -250,28 +257,19 @@ def count_words(train: DataFrame, groups: Groups | None, s: Settings) -> DataFra
         held, size = [], 0
 
         def flush():
-            if not g:
-                key, c = np.unique(np.concatenate(held), return_counts=True)
+            h = np.concatenate([t for t, _ in held])
+            of = np.concatenate([k for _, k in held])
+            for k in np.unique(of):
+                key, c = np.unique(h[of == k], return_counts=True)
                 for lo in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 100_000].view(np.int64)), pa.array(c[lo : lo + 100_000])], ["word", "n"])
-                return
-            key, n = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            both, c = np.unique(n * s.groups + np.concatenate([k for _, k in held]), return_counts=True)
-            for lo in range(0, len(both), 100_000):
-                part = both[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part // s.groups].view(np.int64)), pa.array((part % s.groups).astype(np.int32)), pa.array(c[lo : lo + 100_000])],
-                    ["word", "grp", "n"],
-                )
+                    part = key[lo : lo + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), k, np.int32)), pa.array(c[lo : lo + 100_000])], ["word", "grp", "n"])
 
         for batch in batches:
             for _, _, b, off in tk.slabs(batch.column(0)):
                 t, first = tokens(b, off)
-                if g:
-                    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-                    held.append((t, g.of(find(t), row, len(off) - 1)[row].astype(np.int8)))
-                else:
-                    held.append(t)
+                row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                held.append((t, g.of(find(t), row, len(off) - 1)[row].astype(np.int8) if g else np.zeros(len(t), np.int8)))
                 size += len(t)
                 if size > 3_000_000:
                     yield from flush()
@@ -279,9 +277,9 @@ def count_words(train: DataFrame, groups: Groups | None, s: Settings) -> DataFra
         if held:
             yield from flush()
 
-    if not groups:
-        return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = train.select("text").mapInArrow(run, "word long, grp int, n long")
+    if not groups:
+        return rows.groupBy("word").agg(F.sum("n").alias("n"))
     per = [F.sum(F.when(F.col("grp") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(s.groups)]
     wide = rows.groupBy("word").agg(F.sum("n").alias("n"), *per)
     first = F.array_position(F.array(*(f"g{g}" for g in range(s.groups))), F.greatest(*(f"g{g}" for g in range(s.groups))))
@@ -301,13 +299,17 @@ class Tree:
     share: np.ndarray  # of each word, log of its share of its leaf
 
     def descend(self, cls: np.ndarray, spot: np.ndarray, hist: np.ndarray, bits: int):
-        """Level by level: places of the tokens still on their way, their branches, cells and turns."""
+        """Level by level: places of the tokens still on their way, their branches, cells (by feature) and turns."""
+        hist = np.ascontiguousarray(hist.T)
         at = np.flatnonzero(self.root[cls] >= 0)
         branch = self.root[cls[at]]
         while len(at):
             right = spot[at] >= self.split[branch]
-            key = hist[at] ^ (branch.astype(U) * U(0x9E3779B97F4A7C15))[:, None]
-            yield at, branch, ((key * U(0xD6E8FEB86659FD93)) >> U(64 - bits)).astype(np.int64), right
+            key = np.take(hist, at, axis=1)
+            key ^= branch.astype(U) * U(0x9E3779B97F4A7C15)
+            key *= U(0xD6E8FEB86659FD93)
+            key >>= U(64 - bits)
+            yield at, branch, key.view(np.int64), right
             branch = np.where(right, self.right[branch], self.left[branch])
             at, branch = at[branch >= 0], branch[branch >= 0]
 
@@ -436,8 +438,9 @@ def within(m: Model, place: np.ndarray, hist: np.ndarray) -> np.ndarray:
     """Natural log of the words' probabilities in their classes, after their histories."""
     out = m.tree.share[place].astype(float)
     for at, branch, cell, right in m.tree.descend(m.cls[place].astype(np.int64), m.tree.spot[place], hist, m.bits):
-        z = m.tree.bias[branch] + m.fine[cell].sum(axis=1, dtype=np.float32)
-        out[at] -= np.logaddexp(0, np.where(right, -z, z))
+        z = m.tree.bias[branch] + np.take(m.fine, cell).sum(axis=0, dtype=np.float32)
+        z = np.where(right, -z, z)
+        out[at] -= np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
     return out
 
 
@@ -469,14 +472,18 @@ def words_in(m: Model, fine: np.ndarray, learnt: np.ndarray, place: np.ndarray,
         return
     place, cells, grads = place[use], [], []
     for _, branch, cell, right in m.tree.descend(m.cls[place].astype(np.int64), m.tree.spot[place], hist[use], m.bits):
-        z = m.tree.bias[branch] + fine[cell].sum(axis=1)
+        z = m.tree.bias[branch] + np.take(fine, cell).sum(axis=0)
         cells.append(cell.ravel())
-        grads.append(np.repeat(1 / (1 + np.exp(-z)) - right, FEATURES))
+        grads.append(np.tile(1 / (1 + np.exp(-z)) - right, FEATURES))
     if not cells:
         return
     grad = np.bincount(np.concatenate(cells), np.concatenate(grads), len(fine)).astype(np.float32)
-    learnt += grad * grad
-    fine -= np.float32(FINE_RATE) * grad / np.sqrt(1 + learnt)
+    step = grad * grad
+    learnt += step
+    np.sqrt(np.add(learnt, 1, out=step), out=step)
+    grad *= np.float32(FINE_RATE)
+    grad /= step
+    fine -= grad
 
 
 class Shared:
@@ -584,6 +591,7 @@ def scored(docs: DataFrame, vocabulary: DataFrame, m: Model, shared: Shared | No
     def run(batches):
         tk.lean()
         m = given()
+        m.fine = m.fine.astype(np.float32)
         read = Reader(m)
         key = TaskContext.get().partitionId() << 36
         logn = np.log(m.n + 1.0)
@@ -591,7 +599,7 @@ def scored(docs: DataFrame, vocabulary: DataFrame, m: Model, shared: Shared | No
             for lo, hi, b, off in tk.slabs(batch.column(1), 1 << 18):
                 t, place, feats, first, rows = read(b, off)
                 row = np.repeat(np.arange(rows), np.diff(first))
-                z = log_softmax(m.weight, feats).astype(np.float64)
+                z = log_softmax(m.weight, feats)
                 known = place >= 0
                 at = place[known]
                 total = np.bincount(row[known], z[known, m.cls[at]] + within(m, at, histories(t, first)[known]), rows) if len(m.words) else np.zeros(rows)
@@ -608,7 +616,7 @@ def scored(docs: DataFrame, vocabulary: DataFrame, m: Model, shared: Shared | No
                     zero = np.zeros(len(rest), np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[row[rest]]), pa.array(t[rest].view(np.int64)), pa.nulls(len(rest), pa.int64()), pa.array(zero), pa.array(zero),
-                         pa.array(zero.astype(float)), pa.array(z[rest, m.rare]), pa.array(z[rest, m.unknown]), pa.array(zero == 0)],
+                         pa.array(zero.astype(float)), pa.array(z[rest, m.rare].astype(float)), pa.array(z[rest, m.unknown].astype(float)), pa.array(zero == 0)],
                         NAMES,
                     )
                 key += rows
