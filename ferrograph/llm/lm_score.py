@@ -49,6 +49,8 @@ FAN_IN = 64
 FEATURES = 4
 #: Most cells of the words' features, as a power of two, and the rate of their steps.
 FINE, FINE_RATE = 21, 0.3
+#: Cells that are worked on in one go.
+STRETCH = 1 << 15
 
 
 @dataclass
@@ -444,14 +446,39 @@ def within(m: Model, place: np.ndarray, hist: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_softmax(weight: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
+def logits(weight: np.ndarray, feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By token and class the sums of weights (0 for the highest), their exponentials, and by token the sum of these."""
     z = np.take(weight, feats[0], axis=0)
     for f in feats[1:]:
         z += np.take(weight, f, axis=0)
     z += weight[-1]
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def log_softmax(weight: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
+    z, _, whole = logits(weight, feats)
+    return z - np.log(whole)[:, None]
+
+
+def class_steps(w: np.ndarray, square: np.ndarray, feats: list[np.ndarray], p: np.ndarray, rate: float) -> None:
+    """An AdaGrad step of the softmax; p: the gradient of each token by class; square: the sums of squared gradients."""
+    columns = np.ascontiguousarray(p.T, dtype=np.float64)
+    for i, f in enumerate(feats):
+        own = slice(i * BUCKETS, (i + 1) * BUCKETS)
+        f = f - i * BUCKETS
+        times = np.bincount(f, minlength=BUCKETS)
+        grad = np.empty((BUCKETS, len(columns)), np.float32)
+        for c, column in enumerate(columns):
+            grad[:, c] = np.bincount(f, column, BUCKETS)
+        grad /= np.sqrt(np.float32(len(p)) * times.astype(np.float32)[:, None] / 16 + 1) ** np.float32(0.5)
+        step = grad * grad
+        square[own] += step
+        np.sqrt(square[own], out=step)
+        grad *= np.float32(rate)
+        grad /= step
+        w[own] -= grad
 
 
 def labels(m: Model, t: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -470,20 +497,27 @@ def words_in(m: Model, fine: np.ndarray, learnt: np.ndarray, place: np.ndarray,
     use = np.flatnonzero((place >= 0) & (y != m.unknown))
     if not len(use):
         return
-    place, cells, grads = place[use], [], []
+    place, end = place[use], 0
+    cells = np.empty(len(use) * FEATURES * m.settings.levels, np.int64)
+    grads = np.empty(len(cells))
     for _, branch, cell, right in m.tree.descend(m.cls[place].astype(np.int64), m.tree.spot[place], hist[use], m.bits):
         z = m.tree.bias[branch] + np.take(fine, cell).sum(axis=0)
-        cells.append(cell.ravel())
-        grads.append(np.tile(1 / (1 + np.exp(-z)) - right, FEATURES))
-    if not cells:
+        own = slice(end, end + cell.size)
+        cells[own].reshape(cell.shape)[:] = cell
+        grads[own].reshape(cell.shape)[:] = 1 / (1 + np.exp(-z)) - right
+        end += cell.size
+    if not end:
         return
-    grad = np.bincount(np.concatenate(cells), np.concatenate(grads), len(fine)).astype(np.float32)
-    step = grad * grad
-    learnt += step
-    np.sqrt(np.add(learnt, 1, out=step), out=step)
-    grad *= np.float32(FINE_RATE)
-    grad /= step
-    fine -= grad
+    sums = np.bincount(cells[:end], grads[:end], len(fine))
+    for lo in range(0, len(fine), STRETCH):  # what is at work stays in the cache
+        own = slice(lo, lo + STRETCH)
+        grad = sums[own].astype(np.float32)
+        step = grad * grad
+        learnt[own] += step
+        np.sqrt(np.add(learnt[own], 1, out=step), out=step)
+        grad *= np.float32(FINE_RATE)
+        grad /= step
+        fine[own] -= grad
 
 
 class Shared:
@@ -522,18 +556,11 @@ def train_round(docs: DataFrame, m: Model, shared: Shared) -> None:
                 t, place, feats, first_of, _ = read(b, off)
                 y = labels(m, t, place)
                 words_in(m, fine, learnt, place, y, histories(t, first_of))
-                p = np.exp(log_softmax(w, feats))
+                _, p, whole = logits(w, feats)
+                p /= whole[:, None]
                 p[np.arange(len(t)), y] -= 1
                 seen += len(t)
-                for f in feats:
-                    order = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
-                    bucket = f[order]
-                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    rows = bucket[first]
-                    grad = np.add.reduceat(p[order], first, axis=0)
-                    grad /= np.sqrt(np.float32(len(t)) * np.diff(np.r_[first, len(f)]).astype(np.float32)[:, None] / 16 + 1) ** np.float32(0.5)
-                    square[rows] += grad * grad
-                    w[rows] -= m.settings.rate * grad / np.sqrt(square[rows])
+                class_steps(w, square, feats, p, m.settings.rate)
         if seen:
             for i in range(BLOCKS):
                 part = w[edges[i] : edges[i + 1]].astype(np.float32)
@@ -596,13 +623,14 @@ def scored(docs: DataFrame, vocabulary: DataFrame, m: Model, shared: Shared | No
         key = TaskContext.get().partitionId() << 36
         logn = np.log(m.n + 1.0)
         for batch in batches:
-            for lo, hi, b, off in tk.slabs(batch.column(1), 1 << 18):
+            for lo, hi, b, off in tk.slabs(batch.column(1), 1 << 16):
                 t, place, feats, first, rows = read(b, off)
                 row = np.repeat(np.arange(rows), np.diff(first))
-                z = log_softmax(m.weight, feats)
+                z, _, whole = logits(m.weight, feats)
+                whole = np.log(whole)
                 known = place >= 0
                 at = place[known]
-                total = np.bincount(row[known], z[known, m.cls[at]] + within(m, at, histories(t, first)[known]), rows) if len(m.words) else np.zeros(rows)
+                total = np.bincount(row[known], z[known, m.cls[at]] - whole[known] + within(m, at, histories(t, first)[known]), rows) if len(m.words) else np.zeros(rows)
                 base = np.bincount(row[known], logn[at], rows) if len(m.words) else np.zeros(rows)
                 keys = key + np.arange(rows)
                 none = np.zeros(rows)
@@ -616,7 +644,7 @@ def scored(docs: DataFrame, vocabulary: DataFrame, m: Model, shared: Shared | No
                     zero = np.zeros(len(rest), np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[row[rest]]), pa.array(t[rest].view(np.int64)), pa.nulls(len(rest), pa.int64()), pa.array(zero), pa.array(zero),
-                         pa.array(zero.astype(float)), pa.array(z[rest, m.rare].astype(float)), pa.array(z[rest, m.unknown].astype(float)), pa.array(zero == 0)],
+                         pa.array(zero.astype(float)), pa.array((z[rest, m.rare] - whole[rest]).astype(float)), pa.array((z[rest, m.unknown] - whole[rest]).astype(float)), pa.array(zero == 0)],
                         NAMES,
                     )
                 key += rows

@@ -148,3 +148,21 @@ def test_groups_fit_every_document(spark):
     best = fits.max(axis=2).sum(axis=1).argmax()
     assert np.allclose(found.weight, weight[best].T, atol=1e-3)
     assert (x @ found.weight).max(axis=1).sum() > max((x @ w.T).max(axis=1).sum() for w in start)
+
+
+def test_class_steps_are_those_of_tokens_summed_by_bucket():
+    rng = np.random.default_rng(3)
+    feats = [rng.integers(0, 40, 300) + i * lm_score.BUCKETS for i in range(lm_score.FEATURES)]
+    p = rng.normal(size=(300, 5)).astype(np.float32)
+    w = rng.normal(size=(lm_score.BUCKETS * lm_score.FEATURES + 1, 5)).astype(np.float32)
+    square = np.ones_like(w)
+    want, seen = w.astype(float), square.astype(float)
+    for f in feats:
+        for b in set(f.tolist()):
+            grad = p[f == b].sum(axis=0, dtype=float) / np.sqrt(len(p) * (f == b).sum() / 16 + 1) ** 0.5
+            seen[b] += grad * grad
+            want[b] -= 0.8 * grad / np.sqrt(seen[b])
+    lm_score.class_steps(w, square, feats, p, 0.8)
+    assert np.allclose(w, want, atol=1e-5) and np.allclose(square, seen, atol=1e-4)
+    z, e, whole = lm_score.logits(w, feats)
+    assert np.allclose(z - np.log(whole)[:, None], lm_score.log_softmax(w, feats)) and np.allclose((e / whole[:, None]).sum(axis=1), 1, atol=1e-5)
