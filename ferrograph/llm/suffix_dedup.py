@@ -215,11 +215,11 @@ def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: i
     the end of its context is never asked for. A place that is alone in its class keeps its rank.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:n] = text
-    word = np.zeros(n, U)
-    for i in range(8):
-        word = (word << U(8)) | padded[i : n + i].astype(U)
+    word = np.zeros(n + 8, U)
+    word[:n] = text
+    for i in (1, 2, 4):  # of one byte, two, four and eight
+        word[:-i] = (word[:-i] << U(8 * i)) | word[i:]
+    word = word[:n].copy()
     depth = min(8, length)
     todo = np.flatnonzero(np.arange(n) + depth <= end)
     keys = (word >> U(8 * (8 - depth)))[todo]
@@ -246,14 +246,18 @@ def suffix_array(text: np.ndarray, end: np.ndarray, start: np.ndarray, length: i
             break
         step = min(times * depth, passage if depth < passage else length)
         # what is alone is done; the rest is sorted by what follows
-        todo = np.sort(at[np.repeat(size > 1, size)])
+        more = np.zeros(n, bool)
+        more[at[np.repeat(size > 1, size)]] = True
+        todo = np.flatnonzero(more)
         todo = todo[todo + step <= end[todo]]
         base = rank[todo]
         keys = base.astype(U)
         for shift in range(1, times):
             keys = (keys << bits) | rank[todo + min(shift * depth, step - depth)].astype(U)
         depth = step
-    out = start[np.argsort(rank[start], kind="stable")], word, alone
+    # equal ranks stay in order, as Kasai's algorithm is quicker then
+    out = (np.sort((rank[start].astype(U) << U(32)) | start.astype(U)) & U(0xFFFFFFFF)).astype(np.int64) if n < 1 << 32 else start[np.argsort(rank[start], kind="stable")]
+    out = out, word, alone
     return out if early is None else (*out, rank[early] if middle is None else middle)
 
 
@@ -317,8 +321,7 @@ def repeats(texts: list[bytes], starts: list[int], length: int, passage: int) ->
     start = early[early + length <= end[early]]
     sa, word, alone, middle = suffix_array(text, end, start, length, early, passage)
     some = np.zeros(len(text) + 1, bool)
-    _, which, count = np.unique(middle, return_inverse=True, return_counts=True)
-    some[early] = count[which] > 1
+    some[early] = np.bincount(middle)[middle] > 1
     flag = np.zeros(len(text) + 1, bool)
     if len(sa):
         joined = common_prefixes(sa, word, own, length, alone) >= length
@@ -361,9 +364,11 @@ def search(ctx: DataFrame, length: int, passage: int) -> DataFrame:
         fps, salts, nodes, los, his, texts, salted = part
         out, known = [], set()
         starts = [z - a + 1 for a, z in zip(los, his)]
-        for i, both in enumerate(_flags(fps, salts, texts, starts, length, passage)):
-            for flag, wide in zip(both, (passage, length)):
-                out += [(nodes[i], los[i] + a, los[i] + z - 1, wide, 0, 0, 0, 0) for a, z in runs(flag)]
+        every = _flags(fps, salts, texts, starts, length, passage)
+        for flags, wide in zip(zip(*every), (passage, length)):
+            for i, a, z in runs_of(flags):
+                out.append((nodes[i], los[i] + a, los[i] + z - 1, wide, 0, 0, 0, 0))
+        for i, both in enumerate(every):
             if salted[i]:
                 h = tk.prefix_hash(np.frombuffer(texts[i], np.uint8))
                 for flag, wide in zip(both, (passage, length)):
@@ -414,6 +419,19 @@ def runs(flag: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def runs_of(flags: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(which, first, last + 1) of the runs of true values in each of several arrays; none goes from one array into the next."""
+    size = np.array([len(f) for f in flags], np.int64) + 1  # a false value stands after each
+    begin = np.cumsum(size) - size
+    flag = np.ones(int(size.sum()), bool)
+    flag[begin + size - 1] = False
+    if len(flags):
+        flag[flag] = np.concatenate(flags)
+    edge = np.flatnonzero(np.diff(np.r_[False, flag].astype(np.int8)))
+    which = np.searchsorted(begin, edge[::2], "right") - 1
+    return list(zip(which.tolist(), (edge[::2] - begin[which]).tolist(), (edge[1::2] - begin[which]).tolist()))
+
+
 def across(keys: DataFrame) -> DataFrame:
     """(node, lo, hi, len) of the strings that more than one salted shard holds."""
     per = keys.groupBy("fp", "len", "k1", "k2").agg(F.min("salt").alias("s0"), F.max("salt").alias("s1"))

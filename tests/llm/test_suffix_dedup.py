@@ -130,3 +130,10 @@ def test_suffix_array_and_common_prefixes(seed):
             assert not alone[sa[i]] and not alone[sa[i - 1]]
     some = sd.common_prefixes(sa, word, (begin[:-1], begin[1:] - length), length, alone)
     assert ((some >= length) == (lcp >= length)).all()
+
+
+def test_runs_of_many_arrays_end_at_each_array():
+    rng = np.random.default_rng(1)
+    flags = [rng.random(n) < 0.6 for n in (0, 1, 7, 0, 30, 2)] + [np.ones(4, bool), np.ones(3, bool), np.zeros(0, bool)]
+    assert sd.runs_of(flags) == [(i, a, z) for i, f in enumerate(flags) for a, z in sd.runs(f)]
+    assert sd.runs_of([]) == []
