@@ -41,7 +41,7 @@ from ferrograph.llm.shared import forget, most_frequent, saved
 
 U = np.uint64
 END = U(0x1F3D5B79A2C4E681)
-#: Buckets of features: frequent words have their own, the rest share the others.
+#: Buckets of features: frequent words have their own, the rest share the others. Powers of two.
 OWN, BUCKETS = 4096, 8192
 BLOCKS = 16
 #: Partial averages of a block.
@@ -49,8 +49,10 @@ FAN_IN = 64
 FEATURES = 4
 #: Most cells of the words' features, as a power of two, and the rate of their steps.
 FINE, FINE_RATE = 21, 0.3
-#: Cells that are worked on in one go.
-STRETCH = 1 << 15
+#: Cells, tokens, and bytes of texts that are worked on in one go, to stay in the cache.
+STRETCH, CHUNK, PIECE = 1 << 14, 1 << 12, 1 << 16
+#: Levels of a tree whose cells of one history lie side by side.
+NEAR = 3
 
 
 @dataclass
@@ -118,10 +120,11 @@ class Groups:
 
     def of(self, ids: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """The group of each row. ids: place of each token's word among `words` or -1; row: the token's row."""
-        there = ids >= 0
+        there = np.flatnonzero(ids >= 0)
+        ids, row = ids[there], row[there]
         score = np.zeros((rows, self.weight.shape[1]))
-        for g in range(score.shape[1]):
-            score[:, g] = np.bincount(row[there], self.weight[ids[there], g], rows)
+        for g, weight in enumerate(np.ascontiguousarray(self.weight.T)):
+            score[:, g] = np.bincount(row, np.take(weight, ids), rows)
         return score.argmax(axis=1)
 
 
@@ -268,7 +271,7 @@ def count_words(train: DataFrame, groups: Groups | None, s: Settings) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), k, np.int32)), pa.array(c[lo : lo + 100_000])], ["word", "grp", "n"])
 
         for batch in batches:
-            for _, _, b, off in tk.slabs(batch.column(0)):
+            for _, _, b, off in tk.slabs(batch.column(0), PIECE):
                 t, first = tokens(b, off)
                 row = np.repeat(np.arange(len(off) - 1), np.diff(first))
                 held.append((t, g.of(find(t), row, len(off) - 1)[row].astype(np.int8) if g else np.zeros(len(t), np.int8)))
@@ -290,30 +293,32 @@ def count_words(train: DataFrame, groups: Groups | None, s: Settings) -> DataFra
 
 @dataclass
 class Tree:
-    """Branches that halve the mass of each class's words."""
+    """Branches that halve the mass of each class's words, by level on the way to each leaf. Levels below a leaf are passed with certainty."""
 
-    spot: np.ndarray  # of each word, in order of class
-    root: np.ndarray  # of each class, -1 if it has one word at most
-    split: np.ndarray  # the first spot of the right side
-    left: np.ndarray  # the next branch, -1 at a word
-    right: np.ndarray
+    leaf: np.ndarray  # of each word
+    home: np.ndarray  # hash of the branch that each NEAR levels begin with
+    turn: np.ndarray  # place of a branch below that one
+    right: np.ndarray  # 1 for the right side
     bias: np.ndarray  # log odds of the right side
     share: np.ndarray  # of each word, log of its share of its leaf
 
-    def descend(self, cls: np.ndarray, spot: np.ndarray, hist: np.ndarray, bits: int):
-        """Level by level: places of the tokens still on their way, their branches, cells (by feature) and turns."""
-        hist = np.ascontiguousarray(hist.T)
-        at = np.flatnonzero(self.root[cls] >= 0)
-        branch = self.root[cls[at]]
-        while len(at):
-            right = spot[at] >= self.split[branch]
-            key = np.take(hist, at, axis=1)
-            key ^= branch.astype(U) * U(0x9E3779B97F4A7C15)
-            key *= U(0xD6E8FEB86659FD93)
-            key >>= U(64 - bits)
-            yield at, branch, key.view(np.int64), right
-            branch = np.where(right, self.right[branch], self.left[branch])
-            at, branch = at[branch >= 0], branch[branch >= 0]
+    def odds(self, fine: np.ndarray, leaf: np.ndarray, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By level the log odds of the right side; the first cells, by feature and NEAR levels, and the turns from these.
+
+        Cells of NEAR levels differ in their last bits only, so a history meets them side by side.
+        """
+        side = 1 << NEAR
+        first = hist.T[:, None] ^ np.take(self.home, leaf, axis=1)
+        first *= U(0xD6E8FEB86659FD93)
+        first >>= U(64 - (len(fine).bit_length() - 1))
+        first = first.view(np.int64)
+        turn = np.take(self.turn, leaf, axis=1).reshape(len(self.home), NEAR, len(leaf))
+        near = np.take(fine.reshape(-1, side), first >> NEAR, axis=0)
+        own = first & (side - 1)
+        own += np.arange(0, near.size, side).reshape(first.shape)
+        z = np.take(near, own[:, :, None] ^ turn).sum(axis=0, dtype=np.float32).reshape(self.bias.shape[0], len(leaf))
+        z += np.take(self.bias, leaf, axis=1)
+        return z, first, turn
 
 
 def grow(cls: np.ndarray, weighed: np.ndarray, classes: int, levels: int) -> Tree:
@@ -322,26 +327,38 @@ def grow(cls: np.ndarray, weighed: np.ndarray, classes: int, levels: int) -> Tre
     spot[order] = np.arange(len(cls))
     mass = np.r_[0.0, np.cumsum(weighed[order])]
     start = np.searchsorted(cls[order], np.arange(classes + 1))
-    lo, hi = start[:-1], start[1:]
-    root = np.where(hi - lo > 1, np.cumsum(hi - lo > 1) - 1, -1)
-    leaf = np.zeros(len(cls))  # mass of each spot's leaf
-    for a, z in zip(lo[root < 0].tolist(), hi[root < 0].tolist()):
-        leaf[a:z] = mass[z] - mass[a]
-    lo, hi = lo[root >= 0], hi[root >= 0]
-    parts, made = [], 0
+    lo, hi = start[:-1][np.diff(start) > 0], start[1:][np.diff(start) > 0]
+    deep = -(-levels // NEAR) * NEAR
+    leaf, whole = np.zeros(len(cls), np.int32), np.zeros(len(cls))  # of each spot, and its leaf's mass
+    # of each run of spots: the branches on its way, the sides and the odds
+    way, right, bias = np.full((len(lo), deep), -1), np.ones((len(lo), deep), np.float32), np.full((len(lo), deep), 1e4, np.float32)
+    found, leaves, made, level = [], 0, 0, 0
     while len(lo):
+        done = (hi - lo < 2) | (level == levels)
+        for i, (a, z) in enumerate(zip(lo[done].tolist(), hi[done].tolist())):
+            leaf[a:z], whole[a:z] = leaves + i, mass[z] - mass[a]
+        leaves += int(done.sum())
+        found.append((way[done], right[done], bias[done]))
+        lo, hi, way, right, bias = (x[~done] for x in (lo, hi, way, right, bias))
+        if not len(lo):
+            break
         mid = np.clip(np.searchsorted(mass, (mass[lo] + mass[hi]) / 2), lo + 1, hi - 1)
+        way[:, level] = made + np.arange(len(lo))
+        bias[:, level] = np.log(mass[hi] - mass[mid]) - np.log(mass[mid] - mass[lo])
         made += len(lo)
-        low, high = np.r_[lo, mid], np.r_[mid, hi]
-        more = (high - low > 1) & (len(parts) + 1 < levels)
-        after = np.where(more, made + np.cumsum(more) - 1, -1)
-        parts.append((mid, after[: len(lo)], after[len(lo) :], np.log(mass[hi] - mass[mid]) - np.log(mass[mid] - mass[lo])))
-        for a, z in zip(low[~more].tolist(), high[~more].tolist()):
-            leaf[a:z] = mass[z] - mass[a]
-        lo, hi = low[more], high[more]
-    cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4
-    share = np.log(weighed) - np.log(leaf[spot]) if len(cls) else np.empty(0)
-    return Tree(spot.astype(np.int32), root, cols[0], cols[1], cols[2], cols[3].astype(np.float32), share.astype(np.float32))
+        lo, hi, way, right, bias = np.r_[lo, mid], np.r_[mid, hi], np.r_[way, way], np.r_[right, right], np.r_[bias, bias]
+        right[: len(lo) // 2, level] = 0
+        level += 1
+    way, right, bias = (np.concatenate(x) for x in zip(*found)) if found else (way, right, bias)
+    home, turn = way[:, ::NEAR].copy(), np.zeros(way.shape, np.int64)
+    for i in range(1, home.shape[1]):  # where there is no branch, cells that were met before
+        home[:, i] = np.where(home[:, i] < 0, home[:, i - 1], home[:, i])
+    for i in range(deep):
+        if i % NEAR:
+            turn[:, i] = np.where(way[:, i] < 0, turn[:, i - 1], 2 * turn[:, i - 1] + 1 + (right[:, i - 1] > 0))
+    share = np.log(weighed) - np.log(whole[spot]) if len(cls) else np.empty(0)
+    home = home.astype(U) * U(0x9E3779B97F4A7C15)
+    return Tree(leaf[spot], *(np.ascontiguousarray(x.T) for x in (home, turn, right, bias)), share.astype(np.float32))
 
 
 @dataclass
@@ -410,7 +427,7 @@ class Reader:
         t, first = tokens(b, off)
         place = self.find(t)
         # the bucket of each word as history; 0 stands for no word
-        bucket = np.where((place >= 0) & (place < OWN - 1), place + 1, OWN + (t % U(BUCKETS - OWN)).astype(np.int64))
+        bucket = np.where((place >= 0) & (place < OWN - 1), place + 1, OWN + (t & U(BUCKETS - OWN - 1)).astype(np.int64))
         rows = len(off) - 1
         at = np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))
         back = []
@@ -419,7 +436,7 @@ class Reader:
             x[d:] = bucket[:-d] if d <= len(t) else 0
             x[at < d] = 0
             back.append(x)
-        pair = np.where(back[1] > 0, (back[0] * 31_337 + back[1] * 7_919) % BUCKETS, back[0])
+        pair = np.where(back[1] > 0, (back[0] * 31_337 + back[1] * 7_919) & (BUCKETS - 1), back[0])
         feats = [back[0], pair + BUCKETS, back[1] + 2 * BUCKETS, back[2] + 3 * BUCKETS]
         return t, place, feats, first, rows
 
@@ -433,28 +450,40 @@ def histories(t: np.ndarray, first: np.ndarray) -> np.ndarray:
         x[d:] = t[:-d] if d <= len(t) else 0
         x[at < d] = 0
         back.append(tk.mix(x + U(d)))
-    return np.stack([back[0], tk.mix(back[0] * U(3) + back[1]), back[1], back[2]], axis=1)
+    return np.stack([back[0], tk.mix(back[0] * U(3) + back[1]), back[1], back[2]]).T
 
 
 def within(m: Model, place: np.ndarray, hist: np.ndarray) -> np.ndarray:
     """Natural log of the words' probabilities in their classes, after their histories."""
-    out = m.tree.share[place].astype(float)
-    for at, branch, cell, right in m.tree.descend(m.cls[place].astype(np.int64), m.tree.spot[place], hist, m.bits):
-        z = m.tree.bias[branch] + np.take(m.fine, cell).sum(axis=0, dtype=np.float32)
-        z = np.where(right, -z, z)
-        out[at] -= np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+    tree, out = m.tree, m.tree.share[place].astype(float)
+    every = tree.leaf[place].astype(np.int64)
+    for lo in range(0, len(out), CHUNK):
+        leaf = every[lo : lo + CHUNK]
+        z, _, _ = tree.odds(m.fine, leaf, hist[lo : lo + CHUNK])
+        z *= 1 - 2 * np.take(tree.right, leaf, axis=1)
+        with np.errstate(over="ignore"):
+            whole = np.multiply.reduce(1 + np.exp(z), axis=0, dtype=float)
+        out[lo : lo + CHUNK] -= np.log(whole) if np.isfinite(whole).all() else np.logaddexp(0, z.astype(float)).sum(axis=0)
     return out
 
 
 def logits(weight: np.ndarray, feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By token and class the sums of weights (0 for the highest), their exponentials, and by token the sum of these."""
-    z = np.take(weight, feats[0], axis=0)
-    for f in feats[1:]:
-        z += np.take(weight, f, axis=0)
-    z += weight[-1]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return z, e, e @ np.ones(e.shape[1], e.dtype)
+    """By token and class the sums of weights (less the highest, where exponentials may be too large or too small), their exponentials, and by token the sum of these."""
+    z = np.empty((len(feats[0]), weight.shape[1]), weight.dtype)
+    e, whole, one = np.empty_like(z), np.empty(len(z), z.dtype), np.ones(z.shape[1], z.dtype)
+    for lo in range(0, len(z), CHUNK):
+        own = slice(lo, lo + CHUNK)
+        x = np.take(weight, feats[0][own], axis=0, out=z[own], mode="clip")
+        for f in feats[1:]:
+            x += np.take(weight, f[own], axis=0)
+        x += weight[-1]
+        safe = x.max() < 80
+        if safe:
+            np.matmul(np.exp(x, out=e[own]), one, out=whole[own])
+        if not safe or whole[own].min() < 1e-30:
+            x -= x.max(axis=1, keepdims=True)
+            np.matmul(np.exp(x, out=e[own]), one, out=whole[own])
+    return z, e, whole
 
 
 def log_softmax(weight: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
@@ -464,60 +493,61 @@ def log_softmax(weight: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
 
 def class_steps(w: np.ndarray, square: np.ndarray, feats: list[np.ndarray], p: np.ndarray, rate: float) -> None:
     """An AdaGrad step of the softmax; p: the gradient of each token by class; square: the sums of squared gradients."""
-    columns = np.ascontiguousarray(p.T, dtype=np.float64)
-    for i, f in enumerate(feats):
-        own = slice(i * BUCKETS, (i + 1) * BUCKETS)
-        f = f - i * BUCKETS
-        times = np.bincount(f, minlength=BUCKETS)
-        grad = np.empty((BUCKETS, len(columns)), np.float32)
-        for c, column in enumerate(columns):
+    own = [f - i * BUCKETS for i, f in enumerate(feats)]
+    grads = np.empty((len(feats), BUCKETS, p.shape[1]), np.float32)
+    for c in range(p.shape[1]):
+        column = p[:, c].astype(np.float64)
+        for grad, f in zip(grads, own):
             grad[:, c] = np.bincount(f, column, BUCKETS)
-        grad /= np.sqrt(np.float32(len(p)) * times.astype(np.float32)[:, None] / 16 + 1) ** np.float32(0.5)
+    for i, (grad, f) in enumerate(zip(grads, own)):
+        times = np.bincount(f, minlength=BUCKETS).astype(np.float32)
+        grad /= np.sqrt(np.float32(len(p)) * times[:, None] / 16 + 1) ** np.float32(0.5)
+        at = slice(i * BUCKETS, (i + 1) * BUCKETS)
         step = grad * grad
-        square[own] += step
-        np.sqrt(square[own], out=step)
+        square[at] += step
+        np.sqrt(square[at], out=step)
         grad *= np.float32(rate)
         grad /= step
-        w[own] -= grad
+        w[at] -= grad
 
 
 def labels(m: Model, t: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The class that each training token teaches."""
     known = place >= 0
     at = np.maximum(place, 0)
-    draw = (tk.mix(t) >> U(40)).astype(np.float64) / (1 << 24)
     if not len(m.words):
         return np.full(len(t), m.unknown)
-    unknown = np.where(known, (m.n[at] == 1) & (draw < 0.5), draw < m.unknown_share)
-    return np.where(unknown, m.unknown, np.where(known, m.cls[at], m.rare))
+    out = np.where(known, m.cls[at], m.rare).astype(np.int64)
+    open_ = np.flatnonzero(~known | (m.n[at] == 1))
+    draw = (tk.mix(t[open_]) >> U(40)).astype(np.float64) / (1 << 24)
+    out[open_[draw < np.where(known[open_], 0.5, m.unknown_share)]] = m.unknown
+    return out
 
 
-def words_in(m: Model, fine: np.ndarray, learnt: np.ndarray, place: np.ndarray, y: np.ndarray, hist: np.ndarray) -> None:
-    """An AdaGrad step of the branches that lead to a slab's words; learnt: the sums of squared gradients."""
+def words_in(m: Model, fine: np.ndarray, learnt: np.ndarray, sums: np.ndarray, place: np.ndarray, y: np.ndarray, hist: np.ndarray) -> None:
+    """An AdaGrad step of the branches that lead to a slab's words; learnt: the sums of squared gradients; sums: zeros, and zeros again at the end."""
     use = np.flatnonzero((place >= 0) & (y != m.unknown))
     if not len(use):
         return
-    place, end = place[use], 0
-    cells = np.empty(len(use) * FEATURES * m.settings.levels, np.int64)
-    grads = np.empty(len(cells))
-    for _, branch, cell, right in m.tree.descend(m.cls[place].astype(np.int64), m.tree.spot[place], hist[use], m.bits):
-        z = m.tree.bias[branch] + np.take(fine, cell).sum(axis=0)
-        own = slice(end, end + cell.size)
-        cells[own].reshape(cell.shape)[:] = cell
-        grads[own].reshape(cell.shape)[:] = 1 / (1 + np.exp(-z)) - right
-        end += cell.size
-    if not end:
-        return
-    sums = np.bincount(cells[:end], grads[:end], len(fine))
-    for lo in range(0, len(fine), STRETCH):  # what is at work stays in the cache
+    tree, hist, every = m.tree, np.take(hist.T, use, axis=1).T, m.tree.leaf[place[use]].astype(np.int64)
+    for lo in range(0, len(use), CHUNK):
+        leaf = every[lo : lo + CHUNK]
+        z, first, turn = tree.odds(fine, leaf, hist[lo : lo + CHUNK])
+        np.exp(np.negative(z, out=z), out=z)
+        z += 1
+        np.divide(1, z, out=z)
+        z -= np.take(tree.right, leaf, axis=1)
+        np.add.at(sums, (first[:, :, None] ^ turn).ravel(), np.tile(z.ravel(), FEATURES))
+    for lo in range(0, len(fine), STRETCH):
         own = slice(lo, lo + STRETCH)
-        grad = sums[own].astype(np.float32)
+        grad = sums[own]
         step = grad * grad
         learnt[own] += step
         np.sqrt(np.add(learnt[own], 1, out=step), out=step)
         grad *= np.float32(FINE_RATE)
-        grad /= step
-        fine[own] -= grad
+        np.divide(grad, step, out=step)
+        fine[own] -= step
+        grad[:] = 0
 
 
 class Shared:
@@ -549,13 +579,13 @@ def train_round(docs: DataFrame, m: Model, shared: Shared) -> None:
         read = Reader(m)
         w = m.weight.copy()
         square = np.full(w.shape, 1.0, np.float32)
-        fine, learnt = m.fine.astype(np.float32), np.zeros(len(m.fine), np.float32)
+        fine, learnt, sums = m.fine.astype(np.float32), *np.zeros((2, len(m.fine)), np.float32)
         seen = 0
         for batch in batches:
             for _, _, b, off in tk.slabs(batch.column(0), m.settings.slab):
                 t, place, feats, first_of, _ = read(b, off)
                 y = labels(m, t, place)
-                words_in(m, fine, learnt, place, y, histories(t, first_of))
+                words_in(m, fine, learnt, sums, place, y, histories(t, first_of))
                 _, p, whole = logits(w, feats)
                 p /= whole[:, None]
                 p[np.arange(len(t)), y] -= 1
@@ -623,14 +653,14 @@ def scored(docs: DataFrame, vocabulary: DataFrame, m: Model, shared: Shared | No
         key = TaskContext.get().partitionId() << 36
         logn = np.log(m.n + 1.0)
         for batch in batches:
-            for lo, hi, b, off in tk.slabs(batch.column(1), 1 << 16):
+            for lo, hi, b, off in tk.slabs(batch.column(1), PIECE):
                 t, place, feats, first, rows = read(b, off)
                 row = np.repeat(np.arange(rows), np.diff(first))
                 z, _, whole = logits(m.weight, feats)
                 whole = np.log(whole)
                 known = place >= 0
                 at = place[known]
-                total = np.bincount(row[known], z[known, m.cls[at]] - whole[known] + within(m, at, histories(t, first)[known]), rows) if len(m.words) else np.zeros(rows)
+                total = np.bincount(row[known], z[known, m.cls[at]] - whole[known] + within(m, at, np.take(histories(t, first).T, np.flatnonzero(known), axis=1).T), rows) if len(m.words) else np.zeros(rows)
                 base = np.bincount(row[known], logn[at], rows) if len(m.words) else np.zeros(rows)
                 keys = key + np.arange(rows)
                 none = np.zeros(rows)

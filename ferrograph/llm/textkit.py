@@ -33,6 +33,11 @@ def lean() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def looked_up(table: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The entries of a table of 256 bytes (or booleans) for each byte; an index would be widened to 64 bits first."""
+    return np.frombuffer(b.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def powers(n: int, base: np.uint64) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
     have = _POWERS.get(int(base))
@@ -91,7 +96,7 @@ def prefix_hash(b: np.ndarray) -> np.ndarray:
 def words(b: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of `b`, never across rows, and for each row its first word's index (plus a last)."""
     w = np.zeros(len(b) + 2, bool)
-    w[1:-1] = is_word[b]
+    w[1:-1] = looked_up(is_word, b)
     begin = w[1:-1] & ~w[:-2]
     inner = off[1:-1][off[1:-1] < len(b)]
     begin[inner] = w[1:-1][inner]
@@ -105,7 +110,7 @@ def words(b: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarr
 
 def word_hashes(b: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of `b` after lower-casing A-Z, and the rows' first words."""
-    low = LOWER[b]
+    low = looked_up(LOWER, b)
     start, end, first = words(low, off, is_word)
     if not len(start):
         return np.empty(0, U), first

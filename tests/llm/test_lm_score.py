@@ -166,3 +166,38 @@ def test_class_steps_are_those_of_tokens_summed_by_bucket():
     assert np.allclose(w, want, atol=1e-5) and np.allclose(square, seen, atol=1e-4)
     z, e, whole = lm_score.logits(w, feats)
     assert np.allclose(z - np.log(whole)[:, None], lm_score.log_softmax(w, feats)) and np.allclose((e / whole[:, None]).sum(axis=1), 1, atol=1e-5)
+
+
+def test_branches_on_the_way_to_a_leaf():
+    """Ways are those of trees: shares hold without weights, classes sum to one with any; a step is that of tokens summed by cell, and a history's cells lie side by side."""
+    rng = np.random.default_rng(4)
+    s = lm_score.Settings(groups=3, bands=(), levels=5)
+    n, cls = np.sort(rng.zipf(1.5, 300).clip(1, 5000))[::-1], np.r_[2, rng.integers(0, 2, 299)]  # a class of one word
+    weighed = lm_score.discounted(n)
+    tree = lm_score.grow(cls, weighed, s.classes, s.levels)
+    m = lm_score.Model(s, np.arange(300, dtype=np.uint64), n, cls, None, 0.0, int(n.sum()), 300, None, tree, np.zeros(1 << 12, np.float32))
+    every, hist = np.arange(300), rng.integers(0, 2**63, (300, lm_score.FEATURES)).astype(np.uint64)
+    mass = np.bincount(cls, weighed, s.classes)[cls]
+    assert np.allclose(lm_score.within(m, every, hist), np.log(weighed / mass), atol=1e-5)
+    m.fine = rng.normal(size=1 << 12).astype(np.float32)
+    same = np.repeat(hist[:1], 300, axis=0)
+    assert np.allclose(np.bincount(cls, np.exp(lm_score.within(m, every, same)))[:3], 1, atol=1e-5)
+    m.fine[:] = 60  # exponentials of all levels multiplied don't fit
+    assert np.isfinite(lm_score.within(m, every, hist)).all()
+
+    m.fine = rng.normal(size=1 << 12).astype(np.float32)
+    place, y = np.r_[rng.integers(0, 300, 700), -1, 5], np.r_[np.zeros(701, int), m.unknown]
+    hist = rng.integers(0, 2**63, (702, lm_score.FEATURES)).astype(np.uint64)
+    leaf = tree.leaf[place[:700]].astype(np.int64)
+    z, first, turn = tree.odds(m.fine, leaf, hist[:700])
+    grad, touched = np.zeros(1 << 12), first[:, :, None] ^ turn
+    assert touched.shape == (lm_score.FEATURES, 2, lm_score.NEAR, 700) and (touched >> lm_score.NEAR == first[:, :, None] >> lm_score.NEAR).all()
+    for i in range(700):
+        for level in range(s.levels):
+            cells = touched[:, level // lm_score.NEAR, level % lm_score.NEAR, i]
+            assert np.isclose(z[level, i], tree.bias[level, leaf[i]] + m.fine[cells].sum(), atol=1e-3)
+            np.add.at(grad, cells, 1 / (1 + np.exp(-float(z[level, i]))) - tree.right[level, leaf[i]])
+    fine, learnt, sums = m.fine.copy(), np.zeros(1 << 12, np.float32), np.zeros(1 << 12, np.float32)
+    lm_score.words_in(m, fine, learnt, sums, place, y, hist)
+    assert np.allclose(learnt, grad**2, atol=1e-3) and not sums.any()
+    assert np.allclose(fine, m.fine - lm_score.FINE_RATE * grad / np.sqrt(grad**2 + 1), atol=1e-4)
