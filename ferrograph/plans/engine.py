@@ -64,7 +64,8 @@ def infer(result: Result, config: EngineConfig | None = None) -> Result:
     rank, deg = graph.pagerank(v, e).withColumnRenamed("rank", "pagerank"), graph.degrees(v, e)
     nodes = v.select("id", "node_type", "entity_type", "entity_name").join(rank, "id").join(deg, "id").join(graph.hierarchy(v, e), "id").join(comm, "id")
     nodes = saved(nodes)
-    trainer, ids = network.train_graph(v, e, network.node_features(nodes), config)
+    trainer, places = network.train_graph(v, e, network.node_features(nodes), config)
+    ids = [r["id"] for r in places.orderBy("place").collect()]
     result.tracker = trainer.train()
     z = trainer.embeddings()
     result.embeddings = saved(spark.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, z)], "id string, embedding array<double>"))

@@ -454,3 +454,42 @@ def test_training_holds_no_array_of_edges():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 130e6
+
+
+@pytest.mark.parametrize("name", ["GCN", "VGAE"])
+def test_training_on_a_graph_beyond_memory(spark, monkeypatch, name):
+    """Graphs of more edges than an adjacency may have are trained on whole, with the same numbers if all arrays lie in files."""
+    from ferrograph.functions import autograd
+
+    rows = sorted({(f"c{i}", f"p{i * k % 7}") for i in range(60) for k in (1, 2, 3)})
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in rows] + [("c1", "c1", 1.0), ("c1", "p1", 1.0), ("c2", "stranger", 1.0)], "src string, dst string, weight double")
+    v = spark.createDataFrame([(x,) for x in sorted({x for r in rows for x in r} | {"alone"})], "id string")
+    f = v.select("id", F.array((F.substring("id", 1, 1) == "c").cast("double"), F.length("id").cast("double")).alias("features"))
+    config = EngineConfig(network=Network(architecture=name, hidden=8, out=4, latent=4), training=Training(epochs=4, rate=0.02))
+    monkeypatch.setattr(graph, "IN_MEMORY", 8)
+    trainer, places = network.train_graph(v, e, f, config)
+    at = {r["id"]: r["place"] for r in places.collect()}
+    assert at == {x: i for i, x in enumerate(sorted(at))} and len(trainer.x) == len(at) == v.count()
+    assert {(int(a), int(b)) for a, b in zip(*np.divmod(trainer.known, len(at)))} == {(at[a], at[b]) for a, b in rows}
+    assert all(trainer.x[at[r["id"]]].tolist() == r["features"] for r in f.collect())
+    want = trainer.train().rows
+    monkeypatch.setattr(autograd, "HELD", 16)
+    again, _ = network.train_graph(v, e, f, config)
+    got = again.train().rows
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    with pytest.raises(GraphError):  # arrays with a row an edge
+        network.train_graph(v, e, f, EngineConfig(network=Network(architecture="GAT")))
+    with pytest.raises(TrainingError):
+        network.train_graph(v, e, f.filter("id <> 'c3'"), config)
+
+
+def test_spread_over_hubs():
+    """Nodes with more edges than are added rank by rank, and chunks smaller than their edges."""
+    rng = np.random.default_rng(2)
+    src, dst = rng.integers(0, 40, 300), np.r_[rng.integers(0, 40, 200), np.full(100, 7)]
+    e, x = network.Edges(42, src, dst), rng.normal(size=(42, 3))
+    k = np.bincount(e.ldst, minlength=42)
+    want = np.zeros((42, 3))
+    np.add.at(want, e.ldst, x[e.lsrc] / np.sqrt(k[e.lsrc] * k[e.ldst])[:, None])
+    for chunk, few in ((1 << 17, 64), (30, 5), (4, 0)):
+        assert np.allclose(e.spread(x, chunk, few), want)
