@@ -493,3 +493,51 @@ def test_spread_over_hubs():
     np.add.at(want, e.ldst, x[e.lsrc] / np.sqrt(k[e.lsrc] * k[e.ldst])[:, None])
     for chunk, few in ((1 << 17, 64), (30, 5), (4, 0)):
         assert np.allclose(e.spread(x, chunk, few), want)
+
+
+def test_diameter_of_any_size(spark, monkeypatch):
+    """As by breadth-first searches from all vertices, whatever the size: with twins, in memory and over tables, and of the whole query."""
+    rng = np.random.default_rng(6)
+    path = [(i, i + 1) for i in range(600)]
+    leaves = [(1000 + i, 2000 + i % 3) for i in range(590)] + [(2000, 2001), (2001, 2002), (2002, 9)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2))]
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+
+    def want(rows):
+        near = {}
+        for a, b in rows:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        seen = {s: dict(graph._bfs({k: [(x, 1.0) for x in v] for k, v in near.items()}, s)) for s in near}
+        most = max(len(d) for d in seen.values())
+        start = min(s for s, d in seen.items() if len(d) == most)
+        return max(max(seen[s].values()) for s in seen[start])
+
+    def got(rows):
+        e = spark.createDataFrame([(a, b, 1.0) for a, b in rows], "src long, dst long, weight double")
+        v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+        return graph.statistics(v, e, most=None)["diameter"]
+
+    assert got(path) == 600 and got(leaves) == want(leaves) == 4
+    for rows in (loose, ring, [(1, 2), (4, 4)]):
+        assert got(rows) == want(rows)
+    monkeypatch.setattr(graph, "IN_MEMORY", 0)
+    rows = [(1, 2), (2, 3), (3, 4), (2, 5), (5, 4), (4, 6), (6, 7), (7, 5)]
+    e = spark.createDataFrame(rows + [(b, a) for a, b in rows], "src long, dst long")
+    assert graph._widest(e) == want(rows) == 4
+    assert graph.diameter(spark.range(3), spark.createDataFrame([], "src long, dst long, weight double"), most=None) == -1
+
+
+def test_statistics_query_equals_sql(spark):
+    """Over a component of more than 500 vertices."""
+    import duckdb
+
+    from ferrograph import catalog
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("customer", "orders", "nation", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    want = dict(con.sql(catalog.oracle_sql()["graph_statistics"]).fetchall())
+    row = {r["statistic"]: r["value"] for r in catalog.queries()["graph_statistics"](spark, d).collect()}
+    assert row == want and row["diameter"] == 4
